@@ -27,6 +27,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+OP5 = r"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x != '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM rows_ WHERE len(w) > 0)
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+sets AS (SELECT r, n, md5(string_agg(g, chr(10) ORDER BY g)) AS s FROM shingles JOIN sizes USING (r) GROUP BY r, n),
+reps AS (SELECT s, min(r) AS rep, any_value(n) AS n FROM sets GROUP BY s),
+common AS (
+  SELECT a.r AS u, b.r AS v, count(*) AS c
+  FROM (SELECT * FROM shingles WHERE r IN (SELECT rep FROM reps)) a JOIN (SELECT * FROM shingles WHERE r IN (SELECT rep FROM reps)) b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM common JOIN reps x ON x.rep = u JOIN reps y ON y.rep = v WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT a, v FROM reach JOIN both_ways ON b = u),
+ids AS (SELECT rep, min(doc_id) AS d FROM reps JOIN sets USING (s) JOIN rows_ USING (r) GROUP BY rep),
+labels AS (SELECT a, min(d) AS component_id FROM reach JOIN ids ON b = rep GROUP BY a)
+SELECT doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       doc_id = coalesce(component_id, doc_id) AS kept
+FROM rows_ LEFT JOIN sets USING (r) LEFT JOIN reps USING (s) LEFT JOIN labels ON a = rep
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
+    "op5_minhash": OP5,
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topiloom.llm import decontam, packing
+from topiloom.llm import decontam, minhash, packing
 from topiloom.llm.common import table
 
 
@@ -23,11 +23,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_minhash": op5_minhash,
     "op10_pack": op10_pack,
 }
