@@ -27,6 +27,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+def _secret_spans(kind: str, rank: int, pattern: str, condition: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, pos, pos + len(m[k]) AS stop FROM (
+    SELECT r, m, k, list_sum(list_transform(list_slice(g, 1, k), lambda x: len(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, k - 1), lambda x: len(x))), 0) AS pos
+    FROM (SELECT r, g, m, unnest(range(1, len(m) + 1)) AS k FROM (
+      SELECT r, regexp_split_to_array(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}') AS m FROM texts) WHERE len(m) > 0)
+  ) WHERE {condition}"""
+
+
+# The same fixed patterns as in secrets.RULES.
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = r"""[A-Za-z]["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""  # in SQL quotes
+
+OP4 = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+found AS ({_secret_spans('assign', 0, _ASSIGN, f"len(regexp_extract(m[k], '{_VALUE}', 1)) >= 6")}
+  UNION ALL {_secret_spans('access', 1, 'AKIA[A-Z0-9]+', 'len(m[k]) >= 20')}
+  UNION ALL {_secret_spans('hex', 2, '[0-9a-f]+', 'len(m[k]) >= 24')}),
+spans AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY pos, rank) AS s
+  FROM found GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM texts LEFT JOIN spans USING (r)
+"""
+
 OP5 = r"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -54,5 +83,6 @@ FROM rows_ LEFT JOIN sets USING (r) LEFT JOIN reps USING (s) LEFT JOIN labels ON
 
 ORACLES = {
     "op1_decontaminate": OP1,
+    "op4_secrets": OP4,
     "op5_minhash": OP5,
 }
