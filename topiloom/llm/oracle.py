@@ -27,6 +27,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+# Sequential breaking of the control strings listed in chat.CONTROL_STRINGS.
+_ESCAPED = "replace(coalesce({0}, ''), '\u241b', '\u241b\u241b')"
+for _c in ("<|", "|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\u241b-{_c[1:]}')"
+
+OP2 = f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(len('<|turn|><|body|><|end|>') + len({_ESCAPED.format('role')}) + len({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM rows_ GROUP BY conv_id
+"""
+
+
 def _secret_spans(kind: str, rank: int, pattern: str, condition: str) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
@@ -83,6 +102,7 @@ FROM rows_ LEFT JOIN sets USING (r) LEFT JOIN reps USING (s) LEFT JOIN labels ON
 
 ORACLES = {
     "op1_decontaminate": OP1,
+    "op2_chat": OP2,
     "op4_secrets": OP4,
     "op5_minhash": OP5,
 }
