@@ -100,9 +100,22 @@ SELECT doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(compo
 FROM rows_ LEFT JOIN sets USING (r) LEFT JOIN reps USING (s) LEFT JOIN labels ON a = rep
 """
 
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), first AS (SELECT h, min(page_id) AS f FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p JOIN first USING (h)
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op2_chat": OP2,
     "op4_secrets": OP4,
     "op5_minhash": OP5,
+    "op8_warc": OP8,
 }

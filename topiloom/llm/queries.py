@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiloom.llm import chat, decontam, minhash, packing, secrets
+from topiloom.llm import chat, decontam, minhash, packing, secrets, sharding, warc
 from topiloom.llm.common import table
 
 
@@ -41,6 +41,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -50,5 +58,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op4_secrets": op4_secrets,
     "op5_minhash": op5_minhash,
+    "op7_shard": op7_shard,
+    "op8_warc": op8_warc,
     "op10_pack": op10_pack,
 }
