@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiloom.llm import chat, decontam, minhash, packing, secrets, sharding, warc
+from topiloom.llm import chat, decontam, langid, minhash, packing, secrets, sharding, warc
 from topiloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_chat(messages))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents"))
     return secrets.report(found)
@@ -56,6 +60,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
+    "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
     "op5_minhash": op5_minhash,
     "op7_shard": op7_shard,
