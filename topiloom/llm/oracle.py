@@ -112,10 +112,27 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM p JOIN first USING (h)
 """
 
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS r, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x != 0)) > 0
+), links AS (
+  SELECT a.r AS u, b.r AS w FROM usable a JOIN usable b ON a.label = b.label AND a.r != b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (SELECT r AS a, r AS b FROM v UNION SELECT a, w FROM reach JOIN links ON b = u),
+labels_ AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON b = r GROUP BY a),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN labels_ ON a = r LEFT JOIN counts ON u = r
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op2_chat": OP2,
     "op4_secrets": OP4,
     "op5_minhash": OP5,
     "op8_warc": OP8,
+    "op9_covertree": OP9,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiloom.llm import chat, decontam, langid, minhash, packing, secrets, sharding, warc
+from topiloom.llm import chat, covertree, decontam, langid, minhash, packing, secrets, sharding, warc
 from topiloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -65,5 +69,6 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op7_shard": op7_shard,
     "op8_warc": op8_warc,
+    "op9_covertree": op9_covertree,
     "op10_pack": op10_pack,
 }
