@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiloom.llm import chat, covertree, decontam, langid, minhash, packing, secrets, sharding, warc
+from topiloom.llm import chat, covertree, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
 from topiloom.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_secrets": op4_secrets,
     "op5_minhash": op5_minhash,
+    "op6_licenses": op6_licenses,
     "op7_shard": op7_shard,
     "op8_warc": op8_warc,
     "op9_covertree": op9_covertree,
