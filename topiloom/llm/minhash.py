@@ -15,11 +15,11 @@ are shuffled; the second keys open the tables inside a task.
 
 1. One pass over the texts makes a sketch per document; equal sets become one node.
 2. Buckets with one node fall away.  The rest are dealt into blocks of bounded
-   size; in a block each node proposes its likeliest table mate.
+   size, and in a block each node proposes its likeliest table mate.
 3. Proposals are confirmed on the full sets, and linked nodes are joined.
 4. Buckets that still hold several components are compared block against block,
-   but for pairs that already are of one component.  What is confirmed completes
-   the groups.
+   but for pairs that already are of one component.  Likely pairs are confirmed on
+   the spot, likeliest first, and what they link completes the groups.
 
 Copies are never expanded into pairs, no bucket is capped, and no bucket has to
 fit into one task.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
@@ -173,32 +173,31 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = starts[:-1][sizes == 2]
         share, second = _share(low[two], low[two + 1])
         for k in np.flatnonzero(second & (share >= LEAST_ESTIMATE)).tolist():
-            u.append(sid[two[k]])
-            v.append(sid[two[k] + 1])
-            estimate.append(share[k])
+            u += [two[k], two[k] + 1]
+            v += [two[k] + 1, two[k]]
+            estimate += [share[k], share[k]]
         for k in np.flatnonzero(sizes > 2).tolist():
             a, b = int(starts[k]), int(starts[k + 1])
-            best = np.full(b - a, -1.0, dtype=np.float32)
-            mate = np.zeros(b - a, dtype=np.int64)
-            for i in range(0, b - a, 64):
-                share, second = _share(low[a + i : min(b, a + i + 64), None, :], low[None, a:b, :])
+            for i in range(a, b, 64):
+                share, second = _share(low[i : min(b, i + 64), None, :], low[None, a:b, :])
                 share[~second] = -1
-                share[np.arange(len(share)), np.arange(i, i + len(share))] = -1
-                mate[i : i + len(share)] = share.argmax(axis=1)
-                best[i : i + len(share)] = share.max(axis=1)
-            for i in np.flatnonzero(best >= LEAST_ESTIMATE).tolist():
-                u.append(sid[a + i])
-                v.append(sid[a + int(mate[i])])
-                estimate.append(best[i])
+                share[np.arange(len(share)), np.arange(i - a, i - a + len(share))] = -1  # a node itself
+                mate, best = share.argmax(axis=1), share.max(axis=1)
+                for j in np.flatnonzero(best >= LEAST_ESTIMATE).tolist():
+                    u.append(i + j)
+                    v.append(a + int(mate[j]))
+                    estimate.append(best[j])
         if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(estimate, pa.float32())], names=["u", "v", "estimate"])
+            yield pa.RecordBatch.from_arrays([pa.array([sid[i] for i in u], pa.binary()), pa.array([sid[i] for i in v], pa.binary()), pa.array(estimate, pa.float32())], names=["u", "v", "estimate"])
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components; columns: key, left block, right block, side, sid, comp, low, keys.
+    """Links between components; columns: key, left block, right block, side, sid, comp, low, keys, full.
 
     ``side`` is 0 for rows of the left block, 1 for rows of the right one, 0 for
-    both where they are the same.  A pair is told by the first bucket that it shares.
+    both where they are the same.  Likely pairs are confirmed, likeliest first; what
+    has been linked here is one component from then on, so that a dense group yields
+    a tree of links.  A pair is looked at in the first bucket that it shares.
     """
     for rows in _runs(batches, 3):
         starts = np.concatenate([[0], _changes(rows, 3), [rows.num_rows]])
@@ -207,6 +206,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sid, comp = rows.column(4).to_pylist(), rows.column(5).to_pylist()
         low = _matrix(rows.column(6))
         keys = np.stack(rows.column(7).to_pylist()).astype(np.int64)
+        full = rows.column(8).combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in full]
+        size = np.array([len(x) for x in sets])
         names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
         comp = np.array([names[c] for c in comp])
         u, v = [], []
@@ -215,21 +217,45 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = left[a] == right[a]
             one = np.arange(a, b) if own else a + np.flatnonzero(side[a:b] == 0)
             two = one if own else a + np.flatnonzero(side[a:b] == 1)
+            likely: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i in range(0, len(one), 64):
                 x = one[i : i + 64]
                 share, second = _share(low[x, None, :], low[None, two, :])
                 found = second & (share >= LEAST_ESTIMATE) & (comp[x, None] != comp[None, two])
+                found &= 100 * np.minimum(size[x, None], size[None, two]) >= PERCENT * np.maximum(size[x, None], size[None, two])
                 if own:
                     found &= x[:, None] < two[None, :]
-                for p, q in zip(*np.nonzero(found)):
-                    both = keys[x[p]] == keys[two[q]]
-                    if keys[x[p]][both.argmax()] == key[a]:
-                        u.append(sid[x[p]])
-                        v.append(sid[two[q]])
+                p, q = np.nonzero(found)
+                p, q, share = x[p], two[q], share[p, q]
+                both = keys[p] == keys[q]
+                here = keys[p, both.argmax(axis=1)] == key[a] if len(p) else np.zeros(0, bool)
+                likely.append((share[here], p[here], q[here]))
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            share, p, q = (np.concatenate(c) for c in zip(*likely))
+            for j in np.argsort(-share, kind="stable").tolist():
+                c, d = root(int(comp[p[j]])), root(int(comp[q[j]]))
+                if c != d and _linked(sets[p[j]], sets[q[j]]):
+                    joined[max(c, d)] = min(c, d)
+                    u.append(sid[p[j]])
+                    v.append(sid[q[j]])
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles reach the threshold."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= PERCENT * (len(both) - common)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, full) of the ``wanted`` nodes (sid, doc_id), from their documents' whole texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,12 +283,7 @@ def _confirm(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                a = np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.uint64)
-                b = np.frombuffer(batch.column(3)[k].as_buffer(), dtype=np.uint64)
-                common = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            keep = [_linked(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
@@ -276,29 +297,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     entries = nodes.select("sid", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = entries.join(shared, F.col("key") == F.col("_key")).select("sid", "key", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    members = entries.join(shared, F.col("key") == F.col("_key")).select("sid", "key", "blocks")
     members = cut(members.join(nodes.select("sid", "low"), "sid"), "members")
-
-    dealt = members.select("key", "block", "sid", "low").repartition("key", "block").sortWithinPartitions("key", "block")
-    proposed = dealt.mapInArrow(_propose, PROPOSED)
-    either = proposed.select(F.explode(F.array(F.struct("u", "v", "estimate"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "estimate"))).alias("p")).select("p.*")
-    best = either.groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("b")).select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
-    pairs = cut(best, "proposed")
-
     wanted = members.select("sid").distinct().join(nodes.select("sid", "doc_id"), "sid")
     full = cut(_full_sets(docs, wanted), "sets")
-    links = cut(_confirm(pairs, full), "links")
-    groups = components(links)
 
-    open_pairs = _open_pairs(members, nodes, groups)
-    more = cut(_confirm(open_pairs, full), "links")
+    links = cut(_confirm(_proposals(members), full), "links")
+    groups = components(links)
+    more = cut(_open_links(members, nodes, full, groups), "links")
     if more.take(1):
         groups = components(links.unionByName(more))
     return _labelled(sketch, nodes, groups)
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Likely pairs of nodes that share a table but not yet a component.
+def _proposals(members: DataFrame) -> DataFrame:
+    """The pair (u, v) of each node with its likeliest table mate."""
+    block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    dealt = members.select("key", block.alias("block"), "sid", "low").repartition("key", "block").sortWithinPartitions("key", "block")
+    best = dealt.mapInArrow(_propose, PROPOSED).groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("b"))
+    return best.select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
+
+
+def _open_links(members: DataFrame, nodes: DataFrame, full: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes that share a table but not yet a component.
 
     In each bucket the most frequent component is set apart in blocks of its own,
     which are not compared with each other.
@@ -317,7 +338,7 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     partners = F.when(is_main, F.sequence(F.lit(0), F.col("_others") - 1)).otherwise(everywhere)
     dealt = dealt.withColumn("c", F.explode(partners))
     dealt = dealt.select("key", F.least("b", "c").alias("left"), F.greatest("b", "c").alias("right"), F.when(F.col("b") <= F.col("c"), 0).otherwise(1).alias("side"), "sid", "comp", "low")
-    dealt = dealt.join(nodes.select("sid", "keys"), "sid").select("key", "left", "right", "side", "sid", "comp", "low", "keys")
+    dealt = dealt.join(nodes.select("sid", "keys"), "sid").join(full, "sid").select("key", "left", "right", "side", "sid", "comp", "low", "keys", "full")
     return dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_cross, "u binary, v binary")
 
 
@@ -329,3 +350,14 @@ def _labelled(sketch: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
     label = nodes.select("sid", "doc_id").join(grouped, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("_sid"), F.coalesce("least", "doc_id").alias("_label"))
     component = F.coalesce("_label", "doc_id")
     return sketch.join(label, F.col("sid") == F.col("_sid"), "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: the one with the least id.
+
+    Of rows with equal ids the first by a hash of the text stays; rows without an id stay.
+    """
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64("text")))
+    return joined.withColumn("_first", first).where("_first = 1 OR _kept IS NULL").select(*docs.columns)
