@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from topiloom.llm import bytewise as bw
 
 UNKNOWN = "und"
+#: A document is rejected when even its likeliest language has a lower score: short of
+#: a third, no language stands out.
+LEAST_SCORE = 0.3
 BITS = 17
 TRAIN_DOCS = 1600
 TRAIN_WORDS = 160_000
@@ -303,7 +306,7 @@ def held_out() -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) with lang_pred and score, learned from its own rows."""
     learned = sample(docs, ~held_out() & F.col("doc_id").isNotNull())
-    return predict(docs, train(learned) if learned else None)
+    return predict(docs.drop("lang_pred", "score"), train(learned) if learned else None)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -311,3 +314,11 @@ def report(docs: DataFrame) -> DataFrame:
     learned = sample(docs, ~held_out() & F.col("doc_id").isNotNull())
     predicted = predict(docs.select("doc_id", "text"), train(learned) if learned else None)
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those that have no letter or no clear language."""
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "runs")]
+    told = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}))
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)

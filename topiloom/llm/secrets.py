@@ -138,3 +138,16 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
     done = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` (doc_id, text, n_chars) with every finding replaced in the text, and n_chars to match."""
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    found, _ = scan(docs)
+    hits = found.where(F.size("found") > 0).groupBy(F.col("blob").alias("_hit")).agg(F.first("found").alias("_found"))
+    joined = docs.withColumn("_blob", blob).join(hits, F.col("_blob") == F.col("_hit"), "left")
+    text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"), mark)).otherwise(F.col("text"))
+    changed = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
