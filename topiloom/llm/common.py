@@ -91,6 +91,18 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return local.join(shifts, on).withColumn(name, (F.col("_local") + F.col("_shift")).cast("long")).drop("_bucket", "_local", "_b", "_shift", *(f"_k_{k}" for k in keys))
 
 
+def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFrame:
+    """About 1.5 * ``bound`` of the ``rows`` rows of ``df``, picked by a hash of ``columns``;
+    four times ``bound`` at most, however often a value repeats.
+
+    Adds ``_h``; the ``bound`` rows with the least make a sample that does not depend
+    on how the table is stored.  Only picked rows leave their tasks.
+    """
+    share = min(1.0, (1.5 * bound + 8) / max(1, rows))
+    picked = df.withColumn("_h", F.pmod(F.xxhash64(*columns), F.lit(1 << 30))).where(F.col("_h") < int(share * (1 << 30)) + 1)
+    return picked.limit(4 * bound)
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

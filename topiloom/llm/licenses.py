@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
+from topiloom.llm.common import hash_sample
 
 BITS = 16
 WINDOW_WORDS, STEP_WORDS = 48, 24
@@ -236,9 +237,9 @@ def negatives(docs: DataFrame) -> list[str]:
     """A bounded sample of the corpus' paragraphs that speak of no licence at all."""
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull() & ~F.lower(text).rlike("licen[sc]e|copyright|permission|warrant|public domain"))
-    picked = rows.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).orderBy("h").limit(NEGATIVE_DOCS)
-    out = [p for r in picked.select(F.substring("text", 1, 20_000).alias("text")).toLocalIterator() for p in r["text"].split("\n") if p.strip()]
-    return out[:NEGATIVE_PARAGRAPHS]
+    picked = hash_sample(rows.select("doc_id", F.substring(text, 1, 20_000).alias("text")), NEGATIVE_DOCS, docs.count(), "doc_id")
+    texts = [t for _, t in sorted((r["_h"], r["text"]) for r in picked.select("_h", "text").toLocalIterator())[:NEGATIVE_DOCS]]
+    return [p for t in texts for p in t.split("\n") if p.strip()][:NEGATIVE_PARAGRAPHS]
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiloom.llm.common import cut, fresh_path
+from topiloom.llm.common import cut, fresh_path, hash_sample
 
 MIN_BYTES = 0
 SAMPLE_RECORDS = 1000
@@ -86,10 +86,11 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 def _sample(pages: DataFrame) -> list[bytes]:
     """Records to train on: the first by a hash of their ids, within both bounds."""
-    rows = pages.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 64).alias("html"), F.xxhash64("page_id").alias("_h"))
+    picked = hash_sample(pages.select("page_id", "html"), SAMPLE_RECORDS, pages.count(), "page_id")
+    rows = picked.select("_h", "page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 64).alias("html"))
     out, size = [], 0
-    for r in rows.orderBy("_h", "page_id").limit(SAMPLE_RECORDS).toLocalIterator():
-        out.append(record(r["page_id"], None, r["html"].encode(), None, False, digest(b"")))
+    for _, page_id, html in sorted((r["_h"], r["page_id"] or 0, r["html"]) for r in rows.toLocalIterator())[:SAMPLE_RECORDS]:
+        out.append(record(page_id, None, html.encode(), None, False, digest(b"")))
         size += len(out[-1])
         if size > SAMPLE_BYTES:
             break
