@@ -1,0 +1 @@
+"""Reading and writing: tables, headline files, vectors, images, catalog state."""
