@@ -199,8 +199,10 @@ def split(nodes: DataFrame, membership: DataFrame, docs: DataFrame, round_: int,
     ``docs`` has doc_id, text and embedding."""
     asked = nodes.where("action = 'split'").select("id")
     members = membership.join(F.broadcast(asked.withColumnRenamed("id", "node_id")), "node_id").join(docs, "doc_id")
-    subs = members.join(sub_communities(members.select("node_id", "doc_id", "embedding"), config), ["node_id", "doc_id"])
-    counts = subs.where("sub >= 0").groupBy("node_id").agg(F.countDistinct("sub").alias("parts"))
+    # the clustering is the costly part and is read several times below
+    found = sub_communities(members.select("node_id", "doc_id", "embedding"), config).persist()
+    subs = members.select("node_id", "doc_id", "text").join(found, ["node_id", "doc_id"])
+    counts = found.where("sub >= 0").groupBy("node_id").agg(F.countDistinct("sub").alias("parts"))
     parts = subs.join(F.broadcast(counts.where("parts > 1").select("node_id")), "node_id", "left_semi")
     kept = parts.where("sub >= 0")
     words = grouped_keywords(parts.select("node_id", "doc_id", "text", "sub"), "node_id", "sub", config.split_tfidf, config.keywords)

@@ -30,13 +30,13 @@ def with_vector(docs: DataFrame, column: str = "embedding", out: str = "features
 
 def kmeans(docs: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
     """doc_id, topic_id."""
-    rows = with_vector(docs)
+    rows = with_vector(docs.select("doc_id", "embedding"))
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic_id").fit(rows).transform(rows).select("doc_id", "topic_id")
 
 
 def kmeans_scan(docs: DataFrame, ks: tuple[int, ...], seed: int = 42) -> DataFrame:
     """k, cost of k-means for each k."""
-    rows = with_vector(docs).cache()
+    rows = with_vector(docs.select("doc_id", "embedding")).cache()
     found = [(k, float(KMeans(k=k, seed=seed).fit(rows).summary.trainingCost)) for k in ks]
     rows.unpersist()
     return docs.sparkSession.createDataFrame(found, "k int, cost double")
@@ -264,7 +264,7 @@ def density(rows: DataFrame, min_size: int = 10, min_samples: int = 3, least_gap
 def two_level(docs: DataFrame, k: int = 12, seed: int = 42, fraction: int = 50) -> DataFrame:
     """doc_id, l1_topic, l2_topic: k-means, then density clusters inside each part; parts run in parallel."""
     first = kmeans(docs, k, seed).withColumnRenamed("topic_id", "l1_topic")
-    rows = docs.join(first, "doc_id").select("l1_topic", F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = docs.select("doc_id", "embedding").join(first, "doc_id").select("l1_topic", F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")

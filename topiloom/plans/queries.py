@@ -344,7 +344,7 @@ def _nodes(spark, sf) -> tuple[DataFrame, DataFrame, int]:
     d = uneven(documents(spark, sf))
     keywords = text.keyword_strings(text.topic_keywords(d, text.tfidf(d)))
     nodes, membership = catalog.root_nodes(d, keywords)
-    return nodes, membership, d.count()
+    return nodes.persist(), membership, d.count()  # a row per topic, read by all that follows
 
 
 @query
