@@ -151,7 +151,7 @@ def traverse(x: Tree, y: Tree | None, raw: tuple[np.ndarray, np.ndarray | None],
     other = x if own else y
     raw_y, weight_y = (raw[0], weight[0]) if own else (raw[1], weight[1])
     shift = 0 if own else len(x.points)
-    links = Links(len(x.points) + shift)
+    links = Links(len(x.points) + (0 if own else len(other.points)))
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     norm_x, norm_y = np.linalg.norm(raw[0], axis=1), np.linalg.norm(raw_y, axis=1)
     lowest = (len(x.ids) - 1, len(other.ids) - 1)
