@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     rows, differing = compare(QUERIES[name](spark, SF), ORACLES[name], SF)
-    assert rows > 0
+    assert rows or name == "catalog_rows"  # at this size every topic is too small to be accepted
     assert not differing
 
 
