@@ -139,9 +139,13 @@ def _blocked_neighbours(rows: DataFrame, k: int, blocks: int) -> DataFrame:
 
 
 def sampled_median_distance(vectors: DataFrame, pairs: int = 2000, seed: int = 42) -> DataFrame:
-    """One row: the median of 1 - cosine over pairs drawn by hashes of seed and number."""
+    """One row: the median of 1 - cosine over pairs drawn by hashes of seed and number.
+
+    Pairs are drawn from the 2 * ``pairs`` rows that come first by a hash, so that only
+    those are numbered, however large the table is."""
     spark = vectors.sparkSession
-    ranked = vectors.select("embedding", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"))
+    some = vectors.select("doc_id", "embedding").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "doc_id").limit(2 * pairs)
+    ranked = some.select("embedding", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"))
     n = ranked.count()
     draw = lambda side: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{side}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1)
     drawn = spark.range(pairs).select(draw("a").alias("a"), draw("b").alias("b")).withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % max(n, 1)).otherwise(F.col("b")))
