@@ -136,7 +136,7 @@ ORACLES: dict[str, str] = {
       w AS (SELECT sum(CASE WHEN ca = cb THEN weight ELSE 0 END) AS w_in, sum(weight) AS m FROM named),
       k AS (SELECT sum(k * k) AS k2 FROM (SELECT sum(weight) AS k FROM (SELECT ca AS c, weight FROM named UNION ALL SELECT cb, weight FROM named) GROUP BY c))
       SELECT round(2 * w_in - k2 / (2 * m), 6) AS rb_quality, round((2 * w_in - k2 / (2 * m)) / (2 * m), 6) AS modularity FROM w, k""",
-    "median_pair_dist": f"""WITH {UNITS}, some AS (SELECT doc_id, u FROM units ORDER BY md5('42:' || doc_id), doc_id LIMIT 4000), r AS (SELECT u, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM some), n AS (SELECT count(*) AS n FROM r),
+    "median_pair_dist": f"""WITH {UNITS}, picked AS (SELECT doc_id, u FROM units ORDER BY md5('42:' || doc_id), doc_id LIMIT 4000), r AS (SELECT u, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM picked), n AS (SELECT count(*) AS n FROM r),
       d AS (SELECT CAST('0x' || substr(md5('42:a:' || id), 1, 8) AS BIGINT) % n AS a, CAST('0x' || substr(md5('42:b:' || id), 1, 8) AS BIGINT) % n AS b, n FROM range(2000) t(id), n),
       p AS (SELECT a, CASE WHEN a = b THEN (b + 1) % n ELSE b END AS b FROM d)
       SELECT round(median(1 - least(1.0, greatest(-1.0, list_dot_product(x.u, y.u)))), 6) AS median_dist FROM p JOIN r x ON x.i = a JOIN r y ON y.i = b""",
