@@ -153,3 +153,28 @@ def choose_prior(scan: DataFrame) -> DataFrame:
     score = 0.3 * F.col("silhouette") + 0.3 * F.col("confidence") + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("n_topics") - 60) / 80) + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("entropy") / 5)
     usable = scan.where((F.col("silhouette") >= -0.05) & F.col("n_topics").between(20, 150))
     return usable.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "prior").limit(1)
+
+
+def choose_k(scan: DataFrame) -> DataFrame:
+    """One row, k: the middle one of the winners by silhouette, Davies-Bouldin and
+    Calinski-Harabasz of a scan (k, silhouette, davies_bouldin, calinski_harabasz)."""
+    best = lambda value: F.max(F.struct(value.alias("v"), (-F.col("k")).alias("m")))["m"]
+    winners = scan.agg(F.array(-best(F.col("silhouette")), -best(-F.col("davies_bouldin")), -best(F.col("calinski_harabasz"))).alias("w"))
+    return winners.select(F.sort_array("w")[1].cast("int").alias("k"))
+
+
+def choose_consensus(scan: DataFrame, criterion: str = "max_silhouette", size: int = 800) -> DataFrame:
+    """The best row of a consensus scan (n_clusters, silhouette, median_size): by the largest
+    silhouette, the one nearest to zero (``min_abs_silhouette``), or the median size nearest
+    to ``size`` (``median_size``); ties to fewer clusters."""
+    order = {"max_silhouette": F.desc("silhouette"), "min_abs_silhouette": F.abs("silhouette"), "median_size": F.abs(F.col("median_size") - size)}[criterion]
+    return scan.orderBy(order, "n_clusters").limit(1)
+
+
+def agreed_pairs(candidates: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs (a, b) that a judge's replies (a, b, reply) confirm with YES; a missing
+    or failed reply counts as NO, and without a judge nothing is merged."""
+    if replies is None:
+        return candidates.select("a", "b").where(F.lit(False))
+    yes = replies.where(F.upper(F.trim(F.coalesce("reply", F.lit("")))).startswith("YES")).select("a", "b").distinct()
+    return candidates.select("a", "b").join(yes, ["a", "b"], "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from topiloom.functions.lists import BLACKLIST, DOMAINS, STOP_WORDS
-from topiloom.plans.queries import PRIOR_ROWS, RESOLUTION_ROWS, SCAN
+from topiloom.plans.queries import CONSENSUS_ROWS, K_ROWS, PRIOR_ROWS, RESOLUTION_ROWS, SCAN
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -181,6 +181,12 @@ ORACLES: dict[str, str] = {
       SELECT resolution, modularity, n_topics FROM u ORDER BY CASE WHEN (SELECT bool_or(ok) FROM u) THEN CASE WHEN ok THEN score END ELSE modularity END DESC NULLS LAST, resolution LIMIT 1""",
     "prior_choice": f"""WITH s(prior, silhouette, confidence, entropy, n_topics) AS (VALUES {_VALUES(PRIOR_ROWS)})
       SELECT *, round(0.3 * silhouette + 0.3 * confidence + 0.2 * greatest(0, 1 - abs(n_topics - 60) / 80) + 0.2 * greatest(0, 1 - entropy / 5), 6) AS score FROM s WHERE silhouette >= -0.05 AND n_topics BETWEEN 20 AND 150 ORDER BY score DESC, prior LIMIT 1""",
+    "k_choice": f"""WITH s(k, sil, db, ch) AS (VALUES {_VALUES(K_ROWS)}), w AS (SELECT (SELECT k FROM s ORDER BY sil DESC, k LIMIT 1) AS a, (SELECT k FROM s ORDER BY db, k LIMIT 1) AS b, (SELECT k FROM s ORDER BY ch DESC, k LIMIT 1) AS c)
+      SELECT list_sort([a, b, c])[2] AS k FROM w""",
+    "consensus_choice": f"""WITH s(n_clusters, sil, med) AS (VALUES {_VALUES(CONSENSUS_ROWS)})
+      SELECT 'max_silhouette' AS criterion, (SELECT n_clusters FROM s ORDER BY sil DESC, n_clusters LIMIT 1) AS n_clusters UNION ALL
+      SELECT 'min_abs_silhouette', (SELECT n_clusters FROM s ORDER BY abs(sil), n_clusters LIMIT 1) UNION ALL SELECT 'median_size', (SELECT n_clusters FROM s ORDER BY abs(med - 800), n_clusters LIMIT 1)""",
+    "agreed_merges": f"{BLOCK_SIMS}, {CANDIDATES.format(30)} SELECT a, b FROM candidates WHERE (a + b) % 3 = 0",
     "silhouette_cosine": f"""WITH {UNITS}, d AS (SELECT a.doc_id, a.topic_id AS own, b.topic_id AS other, sum(1 - list_dot_product(a.u, b.u)) / count(*) AS m FROM units a JOIN units b ON a.doc_id != b.doc_id GROUP BY 1, 2, 3),
       s AS (SELECT doc_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own != other) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""",
     "silhouette_euclid": f"""WITH {UNITS}, d AS (SELECT a.doc_id, a.topic_id AS own, b.topic_id AS other, sum(list_distance(a.e, b.e)) / count(*) AS m FROM units a JOIN units b ON a.doc_id != b.doc_id GROUP BY 1, 2, 3),

@@ -310,6 +310,30 @@ def prior_choice(spark, sf):
     return topics.choose_prior(spark.createDataFrame(PRIOR_ROWS, "prior double, silhouette double, confidence double, entropy double, n_topics int"))
 
 
+K_ROWS = [(5, 0.051, 3.9, 410.0), (10, 0.062, 3.7, 388.5), (15, 0.071, 3.8, 300.25), (20, 0.066, 3.5, 281.0), (25, 0.071, 3.6, 266.5)]
+CONSENSUS_ROWS = [(20, -0.02, 2100.0), (50, 0.03, 905.0), (80, 0.01, 640.0), (100, 0.03, 500.0)]
+
+
+@query
+def k_choice(spark, sf):
+    return topics.choose_k(spark.createDataFrame(K_ROWS, "k int, silhouette double, davies_bouldin double, calinski_harabasz double"))
+
+
+@query
+def consensus_choice(spark, sf):
+    scan = spark.createDataFrame(CONSENSUS_ROWS, "n_clusters int, silhouette double, median_size double")
+    kinds = ("max_silhouette", "min_abs_silhouette", "median_size")
+    parts = [topics.choose_consensus(scan, c).select(F.lit(c).alias("criterion"), "n_clusters") for c in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def agreed_merges(spark, sf):
+    pairs = topics.merge_candidates(vx.centroid_similarities(vx.centroids(vectors(spark, sf))), 0.0, 0.95, 30)
+    reply = F.when((F.col("a") + F.col("b")) % 3 == 0, "yes, merge").when((F.col("a") + F.col("b")) % 3 == 1, "NO")
+    return topics.agreed_pairs(pairs, pairs.select("a", "b", reply.alias("reply")))
+
+
 # --- metrics -------------------------------------------------------------------
 
 
