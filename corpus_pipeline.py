@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from topiloom.llm import decontam, langid, minhash, packing, secrets
 from topiloom.llm.common import cut, table
 from topiloom.llm.queries import default_tokenizer
+from topiloom.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +39,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, default_tokenizer())
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("best_fit_packing", best_fit_packing),
-]
+def _stage(operator):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return operator(spark, docs, sf_dir)
+
+    return operator.__name__, run_stage
+
+
+STAGES = [_stage(f) for f in (language_id, near_dedup, decontamination, secret_scan, best_fit_packing)]
 
 # The first stage is a trained model and the last a tokenizer and a local search,
 # which SQL cannot express; the tests hold the pipeline against a brute-force version.
