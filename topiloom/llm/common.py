@@ -8,6 +8,7 @@ it calls :func:`cut`, which writes a table to the cluster's shared folder.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -91,6 +92,36 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return local.join(shifts, on).withColumn(name, (F.col("_local") + F.col("_shift")).cast("long")).drop("_bucket", "_local", "_b", "_shift", *(f"_k_{k}" for k in keys))
 
 
+class Scratch:
+    """Tables of one operator's run, which :meth:`drop` deletes once its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, what: str, release: bool = False) -> DataFrame:
+        """As :func:`cut`; ``release`` lets Spark delete the shuffle files of the finished job now."""
+        path = fresh_path(self.spark, what)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        schema = df.schema
+        del df
+        if release:
+            release_shuffles(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a finished job's shuffle files when the driver collects its garbage,
+    which on a quiet driver may be much later; this asks for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFrame:
     """About 1.5 * ``bound`` of the ``rows`` rows of ``df``, picked by a hash of ``columns``;
     four times ``bound`` at most, however often a value repeats.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiloom.llm.common import cut
+from topiloom.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,14 +32,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Loops and repeated edges are allowed; without edges the result is empty.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    spark = edges.sparkSession
+    steps = [Scratch(spark)]
+    now = steps[-1].cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)).distinct(), "edges")
-        new_mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == tuple(new_mark):
+        steps.append(Scratch(spark))
+        now = steps[-1].cut(_small_star(_large_star(now)).distinct(), "edges")
+        steps.pop(0).drop()
+        new_mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if mark == new_mark:
             break
-        mark = tuple(new_mark)
+        mark = new_mark
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

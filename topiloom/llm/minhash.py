@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import cut
+from topiloom.llm.common import Scratch, cut
 from topiloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -292,22 +292,25 @@ def _confirm(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    sketch = cut(sketches(docs), "sketch")
-    nodes = cut(sketch.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low")), "nodes")
+    scratch = Scratch(docs.sparkSession)
+    sketch = scratch.cut(sketches(docs), "sketch")
+    nodes = scratch.cut(sketch.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low")), "nodes", release=True)
 
     entries = nodes.select("sid", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = entries.join(shared, F.col("key") == F.col("_key")).select("sid", "key", "blocks")
-    members = cut(members.join(nodes.select("sid", "low"), "sid"), "members")
+    members = scratch.cut(members.join(nodes.select("sid", "low"), "sid"), "members", release=True)
     wanted = members.select("sid").distinct().join(nodes.select("sid", "doc_id"), "sid")
-    full = cut(_full_sets(docs, wanted), "sets")
+    full = scratch.cut(_full_sets(docs, wanted), "sets", release=True)
 
-    links = cut(_confirm(_proposals(members), full), "links")
+    links = scratch.cut(_confirm(_proposals(members), full), "links", release=True)
     groups = components(links)
-    more = cut(_open_links(members, nodes, full, groups), "links")
+    more = scratch.cut(_open_links(members, nodes, full, groups), "links", release=True)
     if more.take(1):
         groups = components(links.unionByName(more))
-    return _labelled(sketch, nodes, groups)
+    out = cut(_labelled(sketch, nodes, groups), "groups")
+    scratch.drop()
+    return out
 
 
 def _proposals(members: DataFrame) -> DataFrame:
@@ -357,7 +360,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows with equal ids the first by a hash of the text stays; rows without an id stay.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64("text")))
-    return joined.withColumn("_first", first).where("_first = 1 OR _kept IS NULL").select(*docs.columns)
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    # the window asks for the same partitioning as the join, so texts move once
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    joined = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
+    stay = joined.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id IS NULL"))

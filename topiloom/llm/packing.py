@@ -36,7 +36,7 @@ from topiloom.llm.common import cut
 SEQUENCE = 2048
 END_ID = 0
 GROUP_PIECES = 4096
-SOURCES = 64
+PASSES, SOURCES, PARTNERS = 8, 8, 128
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -150,32 +150,33 @@ def best_fit(lengths: np.ndarray, limit: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int = SEQUENCE, sources: int = SOURCES) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int = SEQUENCE, passes: int = PASSES, sources: int = SOURCES, partners: int = PARTNERS) -> list[list[int]]:
     """Drains underfull bins by moves and exchanges that raise the squared fill.
 
-    Takes up to ``sources`` of the emptiest bins, one after another; stops early
-    at the fewest bins that the total allows.
+    A pass takes the ``sources`` emptiest bins in turn, each against the ``partners``
+    underfull ones with the most room that are at least as full.  It ends when a pass
+    changes nothing, when the total allows no fewer bins, or after ``passes``; these
+    bound the effort, every piece keeps a place.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // limit) if bins else 0
     alive = len(bins)
-    for _ in range(sources):
+    for _ in range(passes):
         if alive <= least:
             break
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: fill[b])
-        if len(under) < 2:
-            break
-        source = under[0]
-        others = [(b, sorted((size[i], i) for i in bins[b])) for b in reversed(under[1:])]
+        held = {b: sorted((size[i], i) for i in bins[b]) for b in under[: sources + partners]}
         changed = False
-        for b, items in others:
-            changed |= _drain(bins, fill, size, source, b, items, limit)
-            if not fill[source]:
-                break
-        if not fill[source]:
-            alive -= 1
-        elif not changed:
+        for k, source in enumerate(under[:sources]):
+            for other in under[k + 1 : k + 1 + partners]:
+                if not fill[source]:
+                    break
+                if other in held and _drain(bins, fill, size, source, other, held[other], limit):
+                    changed = True
+                    held[source] = sorted((size[i], i) for i in bins[source])
+            alive -= not fill[source]
+        if not changed:
             break
     return [b for b in bins if b]
 
