@@ -78,13 +78,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        dealt.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_shift"))
-        if keys
-        else None
-    )
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_shift"))
     local = dealt.withColumn("_local", F.row_number().over(inner) - 1)
     on = local["_bucket"] == shifts["_b"]
     for k in keys:
@@ -133,7 +128,3 @@ def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFram
     picked = df.withColumn("_h", F.pmod(F.xxhash64(*columns), F.lit(1 << 30))).where(F.col("_h") < int(share * (1 << 30)) + 1)
     return picked.limit(4 * bound)
 
-
-def ascii_lower(column):
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

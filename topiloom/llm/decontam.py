@@ -25,7 +25,6 @@ rows; other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
