@@ -10,14 +10,18 @@ from topiloom.functions import text as tx
 
 
 def terms(docs: DataFrame, config: TfIdf = TfIdf(), group: str | None = None) -> DataFrame:
-    """(group,) doc_id, term, tf: one row per document and distinct term."""
+    """(group,) doc_id, term, tf: one row per document and distinct term.
+
+    Texts are dealt by document before they are taken apart, so counts per document and
+    norms need no shuffle of single terms."""
     words = tx.tokens(F.col("text"))
     if config.stop_words:
         words = tx.without_stop_words(words)
     if config.ngrams == (1, 2):
         words = tx.with_bigrams(words)
     keys = [group] if group else []
-    return docs.select(*keys, "doc_id", F.explode(words).alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = docs.select(*keys, "doc_id", "text").repartition("doc_id")
+    return dealt.select(*keys, "doc_id", F.explode(words).alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, n_docs: Column | int, config: TfIdf = TfIdf(), group: str | None = None) -> DataFrame:
