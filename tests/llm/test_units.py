@@ -183,6 +183,26 @@ def test_cover_tree_equals_brute_force(n, dense, seed):
         assert both.count.tolist() == [*(across * weight[None, third:]).sum(axis=1), *(across * weight[:third, None]).sum(axis=0)]
 
 
+def test_multiples_of_a_vector_are_vectors_of_their_own():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))
+    x[10:20] = x[0] + rng.normal(size=(10, 16)) * 0.03
+    x = np.concatenate([x, 2 * x, 0.5 * x[:12], x[:3] * [[4.0], [8.0], [0.25]]])
+    for x in (x, x[[0, 40]], x[[0, 40, 80]]):
+        n, weight = len(x), rng.integers(1, 4, len(x))
+        norm = np.linalg.norm(x, axis=1)
+        linked = (x @ x.T) / np.outer(norm, norm) >= 0.98
+        np.fill_diagonal(linked, False)
+        links = covertree.traverse(covertree.build(x / norm[:, None]), None, (x, None), (weight, None), 0.98)
+        assert links.count.tolist() == (linked * weight[None]).sum(axis=1).tolist()
+        for i in range(n):
+            assert all((links.find(i) == links.find(j)) for j in np.flatnonzero(linked[i]))
+        a, b = x[: n // 2], x[n // 2 :]
+        both = covertree.traverse(covertree.build(a / norm[: n // 2, None]), covertree.build(b / norm[n // 2 :, None]), (a, b), (weight[: n // 2], weight[n // 2 :]), 0.98)
+        across = linked[: n // 2, n // 2 :]
+        assert both.count.tolist() == [*(across * weight[None, n // 2 :]).sum(axis=1), *(across * weight[: n // 2, None]).sum(axis=0)]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     emit, move = rng.uniform(0.1, 1, (7, 3)), rng.uniform(0.1, 1, (3, 3))

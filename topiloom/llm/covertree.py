@@ -44,12 +44,15 @@ _LEAST_RADIUS = 0.02
 class Tree:
     """Levels from the root down.  ``ids[l]`` are the rows that are nodes of level l,
     ``child[l]`` gives for every node of level l + 1 its parent's place in level l, in
-    ascending order, and ``reach[l]`` the covering radius of each node."""
+    ascending order, ``reach[l]`` the covering radius of each node, and ``held[l]`` the
+    number of vectors under it.  A radius of 0 does not mean one vector: multiples of a
+    vector are vectors of their own with the same unit vector."""
 
     points: np.ndarray  # unit vectors
     ids: list[np.ndarray]
     parent: list[np.ndarray]
     reach: list[np.ndarray]
+    held: list[np.ndarray]
 
     def children(self, level: int, node: int) -> slice:
         p = self.parent[level]
@@ -98,13 +101,14 @@ def build(points: np.ndarray) -> Tree:
         parents.append(np.array(level_parent))
         members = level_members
         radius /= 2
-    tree = Tree(points, ids, parents, [np.zeros(len(i)) for i in ids])
+    tree = Tree(points, ids, parents, [np.zeros(len(i)) for i in ids], [np.ones(len(i), dtype=np.int64) for i in ids])
     # covering radii: exact, from the lowest level up
     owner = np.arange(len(ids[-1]))
     for level in range(len(ids) - 2, -1, -1):
         owner = parents[level][owner]
         d = np.sqrt(np.maximum(0.0, ((points[ids[level][owner]] - points[ids[-1]]) ** 2).sum(axis=1)))
         np.maximum.at(tree.reach[level], owner, d)
+        tree.held[level] = np.bincount(owner, minlength=len(ids[level]))
     return tree
 
 
@@ -165,6 +169,7 @@ def traverse(x: Tree, y: Tree | None, raw: tuple[np.ndarray, np.ndarray | None],
         cy = other.children(ly, ny) if ly < lowest[1] else slice(ny, ny + 1)
         kx, ky = min(lx + 1, lowest[0]), min(ly + 1, lowest[1])
         rx, ry = x.reach[kx][cx], other.reach[ky][cy]
+        hx, hy = x.held[kx][cx], other.held[ky][cy]
         ix, iy = x.ids[kx][cx], other.ids[ky][cy]
         for a in range(0, len(ix), 1024):
             d = _distances(x.points[ix[a : a + 1024]], other.points[iy])
@@ -172,7 +177,7 @@ def traverse(x: Tree, y: Tree | None, raw: tuple[np.ndarray, np.ndarray | None],
             if own and lx == ly and nx == ny:
                 open_ &= np.arange(a, a + len(d))[:, None] <= np.arange(len(iy))[None, :]
             p, q = np.nonzero(open_)
-            single = (rx[a + p] == 0) & (ry[q] == 0)
+            single = (hx[a + p] == 1) & (hy[q] == 1)
             # nodes that are single vectors on both sides need not be opened further
             if single.any():
                 _pairs(links, ix[a + p[single]], iy[q[single]], raw[0], raw_y, norm_x, norm_y, weight[0], weight_y, threshold, own, shift)
