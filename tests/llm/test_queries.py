@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,6 +220,37 @@ def test_licences_in_documents(spark, odd):
     assert {r["doc_id"]: r["families"] for r in licenses.report(licenses.scan(spark.read.parquet(f"{odd}/documents.parquet"))).collect()}[10] == "mit"
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_hard_wrapped_licences(spark):
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(3)) for _ in range(30)) for _ in range(300)]
+    rows, want = [], {}
+    for family, notice in WRAPPED.items():
+        for width in (40, 60, 72):
+            for mark in ("", "# ", " * "):
+                body = [line for p in notice.split("\n") for line in [*textwrap.wrap(p, width), ""]]
+                lines = [mark + x for x in body]
+                for head in ([prose[0], ""], [mark + "Copyright (c) 2020 The Authors"]):
+                    want[len(rows)] = family
+                    rows.append((len(rows), "\n".join([*head, *lines, prose[1], prose[2]])))
+    for k in range(50):
+        want[len(rows)] = ""
+        rows.append((len(rows), "\n".join(textwrap.wrap(" ".join(prose[k : k + 5]), 60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["families"] for r in licenses.report(licenses.find(docs, licenses.train(prose))).collect()}
+    assert {i: f for i, f in found.items() if f != want[i]} == {}
+
+
 def check_shards(rows, n):
     size, slots = Counter(), defaultdict(list)
     for r in rows:

@@ -8,8 +8,11 @@ training set calibrates the probabilities (one temperature) and the bar under wh
 paragraph counts as unknown.  A prediction stands only if the paragraph covers enough
 of the word trigrams of some template of that family.
 
-Long paragraphs are read in overlapping windows, so whole texts are scanned and a
-notice inside a page of prose is seen.  Texts stream once, nothing is shuffled.
+A paragraph ends at a line without a word, such as a blank one or a bare comment mark.
+It is read line by line and, where it has several lines, across them as well, so that
+hard-wrapped notices are seen whole.  Both are read in overlapping windows, so whole
+texts are scanned and a notice inside a page of prose is seen.  Texts stream once,
+nothing is shuffled.
 
 Defined cases: a null, empty or blank text has no licence; repeated rows and null ids
 are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -116,6 +119,16 @@ def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW_WORDS, first[1:][owner]), owner
 
 
+def _paragraphs(bounds: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines at ``bounds``: each one's paragraph, each paragraph's first line, and
+    how many of its lines have words."""
+    blank = np.diff(first) == 0
+    new = np.isin(bounds[:-1], offsets)
+    new[1:] |= ~blank[1:] & blank[:-1]
+    paragraph = np.cumsum(new) - 1
+    return paragraph, np.flatnonzero(new), np.bincount(paragraph[~blank], minlength=int(new.sum()))
+
+
 def _gram_sums(hashes: np.ndarray, weights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mean-scaled sums of n-gram weights of each window: divided by the root of their number."""
     out = np.zeros((len(start), weights.shape[1]), dtype=np.float64)
@@ -257,7 +270,12 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
                 bounds = np.unique(np.concatenate([offsets, breaks]))
                 starts, ends, first = bw.words(data, bounds, bw.ALNUM)
                 hashes = bw.word_hashes(data, starts, ends)
-                begin, end, owner = _segments(first)
+                begin, end, line = _segments(first)
+                paragraph_of, first_line, lines = _paragraphs(bounds, offsets, first)
+                owner = paragraph_of[line]
+                across = _segments(np.append(first[first_line], first[-1]))
+                wrapped = lines[across[2]] > 1
+                begin, end, owner = (np.concatenate([x, y[wrapped]]) for x, y in zip((begin, end, owner), across))
                 if len(begin):
                     p = m.probabilities(hashes, begin, end)
                     told = p.argmax(axis=1)
@@ -268,8 +286,8 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
                             key = (int(owner[k]), int(told[k]))
                             best[key] = max(best.get(key, (0.0, 0.0)), (float(p[k, told[k]]), cover))
                     for (paragraph, family), (probability, cover) in sorted(best.items()):
-                        text = int(np.searchsorted(offsets, bounds[paragraph], side="right")) - 1
-                        number = paragraph - int(np.searchsorted(bounds, offsets[text]))
+                        text = int(np.searchsorted(offsets, bounds[first_line[paragraph]], side="right")) - 1
+                        number = paragraph - int(paragraph_of[np.searchsorted(bounds, offsets[text])])
                         found[text].append({"family": m.families[family], "probability": probability, "coverage": cover, "paragraph": number})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), pa.array(found, found_type)], names=["doc_id", "licenses"])
 
