@@ -12,6 +12,7 @@ from topiloom.operators import catalog, consensus, graph, metrics, models, topic
 from topiloom.operators import vectors as vx
 from topiloom.operators.leiden import leiden
 from topiloom.plans import run
+from topiloom.plans.queries import QUERIES
 from topiloom.sources import readers, writers
 
 RULES = [
@@ -229,6 +230,33 @@ def test_linkage_and_density(spark):
         assert label[0] == label[1] != label[2] == label[3]
 
 
+@pytest.mark.parametrize("name", ["agglomerative_topics", "density_topics", "gsdmm_topics"])
+def test_whole_tables_get_topics(spark, name):
+    sf = "/root/testdata/sf0.1"
+    wanted = spark.read.parquet(f"{sf}/embeddings.parquet")
+    if name == "gsdmm_topics":
+        wanted = wanted.join(spark.read.parquet(f"{sf}/documents.parquet"), F.col("vec_id") == F.col("doc_id"))
+    found = [r["doc_id"] for r in QUERIES[name](spark, sf).collect()]
+    assert len(found) > 500
+    assert sorted(found) == sorted(r["vec_id"] for r in wanted.select("vec_id").collect())
+
+
+def test_methods_beyond_one_matrix(spark, monkeypatch):
+    monkeypatch.setattr(models, "MATRIX_ROWS", 120)
+    monkeypatch.setattr(models, "MICRO_CLUSTERS", 40)
+    rng = np.random.default_rng(0)
+    x = np.repeat(np.eye(3) * 20, 100, axis=0) + rng.normal(size=(300, 3)) * 0.5
+    rows = spark.createDataFrame([(i, v.tolist(), " ".join(rng.choice(list("abcd" if i < 100 else "efgh" if i < 200 else "ijkl"), 12))) for i, v in enumerate(x)], "doc_id long, x array<double>, text string")
+    for found in (models.agglomerative(rows.select("doc_id", "x"), 3), models.density(rows.select("doc_id", F.transform("x", lambda v: F.when(v > 10, 20.0).otherwise(0.0)).alias("x"))), models.gsdmm(rows.select("doc_id", "text"), 6)):
+        by = dict(found.collect())
+        assert sorted(by) == list(range(300))
+        for a in range(0, 300, 100):
+            own = [by[i] for i in range(a, a + 100)]
+            most = max(set(own), key=own.count)
+            assert most >= 0 and own.count(most) >= 90
+            assert all(by[i] != most for i in range(300) if not a <= i < a + 100)
+
+
 def test_catalog_run_exports_and_resumes(spark, tmp_path):
     from topiloom.plans.queries import documents, uneven
 

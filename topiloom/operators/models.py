@@ -2,8 +2,9 @@
 
 Large tables go through Spark ML or through DataFrame sums; methods that need a whole
 matrix (agglomerative, density-based, Gibbs sampling) run in one task on a documented,
-bounded number of rows.  Where the named method is not available on Spark, the
-docstring says what stands in for it.
+bounded number of rows: on all of a table up to ``MATRIX_ROWS`` rows, beyond that on
+micro-clusters or a sample, from which every other row gets its topic.  Where the named
+method is not available on Spark, the docstring says what stands in for it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from topiloom.operators.leiden import by_size
 
 #: Rows that a whole-matrix method takes at most.
 MATRIX_ROWS = 10_000
+#: Micro-clusters that stand for the rows of a larger table.
+MICRO_CLUSTERS = 1000
 
 
 def with_vector(docs: DataFrame, column: str = "embedding", out: str = "features") -> DataFrame:
@@ -197,13 +200,30 @@ def linkage(distance: np.ndarray, k: int, kind: str = "average", weight: np.ndar
 
 
 def agglomerative(rows: DataFrame, k: int = 30, kind: str = "ward") -> DataFrame:
-    """doc_id, topic_id of (doc_id, x); ward, average or complete linkage over Euclidean distance."""
+    """doc_id, topic_id of (doc_id, x); ward, average or complete linkage over Euclidean distance.
 
-    def label(x: np.ndarray) -> np.ndarray:
-        s = (x**2).sum(axis=1)
-        return linkage(np.sqrt(np.maximum(0, s[:, None] + s[None] - 2 * x @ x.T)), min(k, len(x)), kind)
+    Tables beyond ``MATRIX_ROWS`` rows are first parted into micro-clusters by k-means,
+    whose weighted centres are linked; each row takes the topic of its micro-cluster.
+    """
 
-    return _whole(rows, label)
+    def distances(x: np.ndarray) -> np.ndarray:
+        s = (x**2).sum(axis=1)
+        return np.sqrt(np.maximum(0, s[:, None] + s[None] - 2 * x @ x.T))
+
+    if rows.count() <= MATRIX_ROWS:
+        return _whole(rows, lambda x: linkage(distances(x), min(k, len(x)), kind))
+    data = with_vector(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "x"), "x")
+    model = KMeans(k=MICRO_CLUSTERS, seed=42, initMode="random", maxIter=10, featuresCol="features", predictionCol="micro").fit(data)
+    near = model.transform(data).select("doc_id", "micro").persist()
+    size = dict(near.groupBy("micro").count().collect())
+    used = np.array(sorted(size))
+    weight = np.array([size[m] for m in used.tolist()], dtype=float)
+    d = distances(np.array(model.clusterCenters())[used])
+    if kind == "ward":  # of groups of such sizes, in the scale of single rows
+        d *= np.sqrt(2 * weight[:, None] * weight[None] / (weight[:, None] + weight[None]))
+    label = linkage(d, min(k, len(used)), kind, weight)
+    named = rows.sparkSession.createDataFrame(list(zip(used.tolist(), label.tolist())), "micro int, topic_id int")
+    return near.join(F.broadcast(named), "micro").select("doc_id", "topic_id")
 
 
 def spectral(edges: DataFrame, k: int = 20, iterations: int = 20) -> DataFrame:
@@ -213,52 +233,91 @@ def spectral(edges: DataFrame, k: int = 20, iterations: int = 20) -> DataFrame:
     return model.assignClusters(edges.select("src", "dst", "weight")).select(F.col("id").alias("doc_id"), F.col("cluster").cast("int").alias("topic_id"))
 
 
+def density_labels(x: np.ndarray, min_size: int, min_samples: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Labels of a matrix by one density cut, the rows' core distances, and the height of the cut."""
+    if not len(x):
+        return np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
+    n = len(x)
+    s = (x**2).sum(axis=1)
+    d = np.sqrt(np.maximum(0, s[:, None] + s[None] - 2 * x @ x.T))
+    core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    best, link, seen, tree = reach[0].copy(), np.zeros(n, dtype=int), np.zeros(n, dtype=bool), []
+    seen[0] = True
+    for _ in range(n - 1):
+        j = int(np.where(seen, np.inf, best).argmin())
+        tree.append((best[j], int(link[j]), j))
+        seen[j] = True
+        closer = reach[j] < best
+        best[closer], link[closer] = reach[j][closer], j
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    size, count, top = [1] * n, 0, (0, 0)
+    tree.sort()
+    for step, (_, a, b) in enumerate(tree):
+        a, b = find(a), find(b)
+        count += (size[a] + size[b] >= min_size) - (size[a] >= min_size) - (size[b] >= min_size)
+        root[b] = a
+        size[a] += size[b]
+        top = max(top, (count, step + 1))
+    root = list(range(n))
+    for _, a, b in tree[: top[1]]:
+        root[find(b)] = find(a)
+    own = np.array([find(i) for i in range(n)])
+    _, place, number = np.unique(own, return_inverse=True, return_counts=True)
+    label = by_size(np.where(number[place] >= min_size, own, -1 - own)) if n else own
+    return np.where(number[place] >= min_size, label, -1), core, float(tree[top[1] - 1][0]) if top[1] else 0.0
+
+
+def _sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows by a hash of doc_id; only ids and hashes are sorted."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    return rows.join(F.broadcast(rows.select("doc_id").orderBy(h).limit(n)), "doc_id", "left_semi").limit(n)
+
+
 def density(rows: DataFrame, min_size: int = 10, min_samples: int = 3, least_gap: float = 0.05) -> DataFrame:
     """doc_id, topic_id by hierarchical density: mutual reachability, its minimum spanning tree,
     and the cut with the most clusters of at least ``min_size``; others are -1.
 
     Stands in for HDBSCAN: one cut of the same hierarchy instead of its excess of mass.
+    Beyond ``MATRIX_ROWS`` rows the cut is that of a sample of so many; each row then takes the
+    topic of its nearest sampled row, if that one reaches it at the height of the cut.
     """
+    if rows.count() <= MATRIX_ROWS:
+        return _whole(rows, lambda x: density_labels(x, min_size, min_samples)[0])
+    data = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "x")
+    drawn = _sample(data, MATRIX_ROWS)
 
-    def label(x: np.ndarray) -> np.ndarray:
-        n = len(x)
-        s = (x**2).sum(axis=1)
-        d = np.sqrt(np.maximum(0, s[:, None] + s[None] - 2 * x @ x.T))
-        core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
-        reach = np.maximum(np.maximum(core[:, None], core[None]), d)
-        best, link, seen, tree = reach[0].copy(), np.zeros(n, dtype=int), np.zeros(n, dtype=bool), []
-        seen[0] = True
-        for _ in range(n - 1):
-            j = int(np.where(seen, np.inf, best).argmin())
-            tree.append((best[j], int(link[j]), j))
-            seen[j] = True
-            closer = reach[j] < best
-            best[closer], link[closer] = reach[j][closer], j
-        root = list(range(n))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        size, count, top = [1] * n, 0, (0, 0)
-        tree.sort()
-        for step, (_, a, b) in enumerate(tree):
-            a, b = find(a), find(b)
-            count += (size[a] + size[b] >= min_size) - (size[a] >= min_size) - (size[b] >= min_size)
-            root[b] = a
-            size[a] += size[b]
-            top = max(top, (count, step + 1))
-        root = list(range(n))
-        for _, a, b in tree[: top[1]]:
-            root[find(b)] = find(a)
-        own = np.array([find(i) for i in range(n)])
-        _, place, number = np.unique(own, return_inverse=True, return_counts=True)
-        label = by_size(np.where(number[place] >= min_size, own, -1 - own)) if n else own
-        return np.where(number[place] >= min_size, label, -1)
-
-    return _whole(rows, label)
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc_id")
+        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        label, core, height = density_labels(x, min_size, min_samples)
+        return pa.table({"x": pa.array(list(x), pa.list_(pa.float64())), "label": pa.array(label.astype(np.int32)), "core": pa.array(core), "height": pa.array(np.full(len(t), height))})
+
+    fitted = drawn.select(F.lit(0).alias("g"), "doc_id", "x").groupBy("g").applyInArrow(fit, "x array<double>, label int, core double, height double").toArrow()
+    points = np.array(fitted["x"].to_pylist())
+    shared = rows.sparkSession.sparkContext.broadcast((points, fitted["label"].to_numpy(), fitted["core"].to_numpy(), fitted["height"][0].as_py()))
+
+    def assign(batches):
+        points, label, core, height = shared.value
+        square = (points**2).sum(axis=1)
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            out = np.full(len(x), -1, dtype=np.int32)
+            for a in range(0, len(x), 512):
+                own = x[a : a + 512]
+                near = (square[None] - 2 * own @ points.T).argmin(axis=1)
+                d = np.sqrt(((own - points[near]) ** 2).sum(axis=1))
+                out[a : a + 512] = np.where(np.maximum(d, core[near]) <= height, label[near], -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "topic_id"])
+
+    return data.mapInArrow(assign, "doc_id long, topic_id int")
 
 
 def two_level(docs: DataFrame, k: int = 12, seed: int = 42, fraction: int = 50) -> DataFrame:
@@ -280,9 +339,11 @@ def gsdmm(docs: DataFrame, k: int = 50, alpha: float = 0.1, beta: float = 0.1, s
     """doc_id, topic_id by collapsed Gibbs sampling of one topic per document.
 
     Sampling is sequential, so this runs in one task; the scores of all topics for a
-    document are one vector operation."""
+    document are one vector operation.  Beyond ``MATRIX_ROWS`` rows a sample of so many is
+    drawn for it, and each document takes its likeliest topic under the sample's counts."""
+    words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
 
-    def label(words_of: list[list[str]]) -> np.ndarray:
+    def gibbs(words_of: list[list[str]]) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(seed)
         number: dict[str, int] = {}
         docs_ = [np.array([number.setdefault(w, len(number)) for w in words or []], dtype=np.int64) for words in words_of]
@@ -307,9 +368,32 @@ def gsdmm(docs: DataFrame, k: int = 50, alpha: float = 0.1, beta: float = 0.1, s
                 in_topic[new] += 1
                 words[new] += len(w)
                 np.add.at(freq[:, new], w, 1)
-        return z
+        return z, number, in_topic, words, freq
+
+    if docs.count() <= MATRIX_ROWS:
+        return _whole(words, lambda x: gibbs(x)[0], "words")
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        _, number, in_topic, total, freq = gibbs(t.sort_by("doc_id")["words"].to_pylist())
+        return pa.table({"word": pa.array([*number, None], pa.string()), "n": pa.array([*freq[: len(number)].tolist(), [*in_topic, *total]], pa.list_(pa.float64()))})
+
+    fitted = _sample(words, MATRIX_ROWS).select(F.lit(0).alias("g"), "doc_id", "words").groupBy("g").applyInArrow(fit, "word string, n array<double>").toArrow().to_pylist()
+    counts = {r["word"]: i for i, r in enumerate(r for r in fitted if r["word"] is not None)}
+    freq = np.array([r["n"] for r in fitted if r["word"] is not None]).reshape(len(counts), k)
+    sums = np.array(next(r["n"] for r in fitted if r["word"] is None))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, freq, sums[:k], sums[k:]))
+
+    def assign(batches):
+        counts, freq, in_topic, total = shared.value
+        v = max(1, len(counts))
+        for batch in batches:
+            out = np.zeros(batch.num_rows, dtype=np.int32)
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                w = [counts[x] for x in own or [] if x in counts]
+                out[i] = int((np.log(in_topic + alpha) + np.log(freq[w] + beta).sum(axis=0) - len(w) * np.log(total + v * beta)).argmax())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "topic_id"])
 
-    return _whole(docs.select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words")), label, "words")
+    return words.select(F.col("doc_id").cast("long"), "words").mapInArrow(assign, "doc_id long, topic_id int")
 
 
 def discriminant_loop(docs: DataFrame, k: int = 10, dims: int = 9, rounds: int = 5, seed: int = 42) -> DataFrame:

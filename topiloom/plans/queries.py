@@ -522,13 +522,9 @@ def bayesian_mixture_topics(spark, sf):
     return topics.soft_assignment(p)
 
 
-def _sampled(rows: DataFrame, n: int = 500) -> DataFrame:
-    return rows.orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))).limit(n)
-
-
 @query
 def agglomerative_topics(spark, sf):
-    return models.agglomerative(_sampled(vectors(spark, sf)).select("doc_id", F.col("embedding").cast("array<double>").alias("x")), 30)
+    return models.agglomerative(vectors(spark, sf).select("doc_id", F.col("embedding").cast("array<double>").alias("x")), 30)
 
 
 @query
@@ -539,7 +535,7 @@ def spectral_topics(spark, sf):
 @query
 def density_topics(spark, sf):
     reduced = models.pca(vectors(spark, sf), 5)[0]
-    return models.density(_sampled(reduced).select("doc_id", F.col("reduced").alias("x")))
+    return models.density(reduced.select("doc_id", F.col("reduced").alias("x")))
 
 
 @query
@@ -549,7 +545,7 @@ def two_level_topics(spark, sf):
 
 @query
 def gsdmm_topics(spark, sf):
-    return models.gsdmm(_sampled(documents(spark, sf), 200).select("doc_id", "text"), 10, sweeps=3)
+    return models.gsdmm(documents(spark, sf).select("doc_id", "text"), 10)
 
 
 @query
