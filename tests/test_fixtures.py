@@ -257,6 +257,14 @@ def test_methods_beyond_one_matrix(spark, monkeypatch):
             assert all(by[i] != most for i in range(300) if not a <= i < a + 100)
 
 
+def test_two_levels_have_noise(spark):
+    x = [[0.0, 0.0]] * 20 + [[0.0, 5.0]] * 20 + [[0.0, 40.0]] + [[9999.0, 0.0]] * 20
+    rows = spark.createDataFrame(list(enumerate(x)), "doc_id long, embedding array<double>")
+    by = {r["doc_id"]: r["l2_topic"] for r in models.two_level(rows, 2).collect()}
+    assert sorted(by) == list(range(len(x)))
+    assert by[40] == -1 and {by[0], by[20]} == {0, 1}
+
+
 def test_catalog_run_exports_and_resumes(spark, tmp_path):
     from topiloom.plans.queries import documents, uneven
 

@@ -321,7 +321,10 @@ def density(rows: DataFrame, min_size: int = 10, min_samples: int = 3, least_gap
 
 
 def two_level(docs: DataFrame, k: int = 12, seed: int = 42, fraction: int = 50) -> DataFrame:
-    """doc_id, l1_topic, l2_topic: k-means, then density clusters inside each part; parts run in parallel."""
+    """doc_id, l1_topic, l2_topic: k-means, then density clusters inside each part; parts run in parallel.
+
+    Rows in no density cluster have l2_topic -1.  A part is one task with some square matrices
+    of its rows."""
     first = kmeans(docs, k, seed).withColumnRenamed("topic_id", "l1_topic")
     rows = docs.select("doc_id", "embedding").join(first, "doc_id").select("l1_topic", F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
 
@@ -329,7 +332,7 @@ def two_level(docs: DataFrame, k: int = 12, seed: int = 42, fraction: int = 50)
         t = t.sort_by("doc_id")
         n = len(t)
         x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        sub = np.zeros(n, dtype=np.int64) if n <= 10 else linkage(np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(-1))), max(1, n // max(5, n // fraction) // 4))
+        sub = np.zeros(n, dtype=np.int64) if n <= 10 else density_labels(x, max(5, n // fraction), 3)[0]
         return pa.table({"doc_id": t["doc_id"], "l1_topic": t["l1_topic"], "l2_topic": pa.array(sub.astype(np.int32))})
 
     return rows.groupBy("l1_topic").applyInArrow(run, "doc_id long, l1_topic int, l2_topic int")
