@@ -278,6 +278,61 @@ def test_shards_are_near_equal(spark):
     assert max(size.values()) < 1.05 * sum(size.values()) / 5
 
 
+def brute_tree(rows, shards, at=0, whole=None):
+    """{row number: shard} and the split dimensions, by sorting."""
+    cut_at = lambda values, p: sorted(values)[max(0, -(-int(p * 100) * len(values) // 100) - 1)]
+    spread = lambda own, d: cut_at([r[d] for r in own], 0.95) - cut_at([r[d] for r in own], 0.05)
+    whole = whole or {d: spread(rows, d) for d in sharding.DIMENSIONS}
+    if shards == 1 or not rows:
+        return {r["n"]: at for r in rows}, []
+    width = lambda d: spread(rows, d) / whole[d] if whole[d] else 0.0
+    widest = max(sharding.DIMENSIONS, key=width)
+    rows = sorted(rows, key=lambda r: (r[widest], r["_text"], r["_id"]))
+    want = sum(r["size"] for r in rows) * (shards // 2) / shards
+    sums = [sum(r["size"] for r in rows[:i]) for i in range(len(rows) + 1)]
+    cut = min(range(len(sums)), key=lambda i: (abs(sums[i] - want), -i))
+    low, below = brute_tree(rows[:cut], shards // 2, at, whole)
+    high, above = brute_tree(rows[cut:], shards - shards // 2, at + shards // 2, whole)
+    return low | high, [(widest, rows[cut - 1][widest] == rows[cut][widest]), *below, *above]
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda i: "".join(rng.choice("ab C9é\n ") for _ in range(rng.randrange(1, 40) * (1 + i % 7)))
+    rows = sharding.metadata(spark.createDataFrame([(i, make(i)) for i in range(400)], "doc_id long, text string"))
+    told = [r.asDict() | {"n": r["doc_id"]} for r in rows.collect()]
+    tree, n = sharding.build(rows.repartition(3), shards=5, slack=0.0)
+    assert n == 400
+
+    def nodes(node):
+        return [] if node.low is None else [node.keys[0][0], *nodes(node.low), *nodes(node.high)]
+
+    want, splits = brute_tree(told, 5)
+    assert nodes(tree) == [d for d, _ in splits]
+    got = {}
+    for r in told:
+        node = tree
+        while node.low is not None:
+            goes_low = tuple(r[k] for k, _ in node.keys) <= tuple(v for _, v in node.keys)
+            node = node.low if goes_low else node.high
+        got[r["n"]] = node.first
+    assert got == want
+
+
+def test_splits_are_on_metadata(spark):
+    rows = sharding.metadata(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).persist()
+    tree, _ = sharding.build(rows)
+
+    def keys(node):
+        return [] if node.low is None else [node.keys, *keys(node.low), *keys(node.high)]
+
+    found = keys(tree)
+    assert len(found) == 15 and len({k[0][0] for k in found}) >= 3
+    at_cut = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(k[0][0]) == k[0][1]).alias(f"c{i}") for i, k in enumerate(found))).first()
+    assert sum(at_cut[f"c{i}"] > 0.05 * at_cut["n"] for i in range(15)) <= 3  # cuts between values, not through equal ones
+    rows.unpersist()
+
+
 def test_shards_of_odd_rows(spark, odd):
     rows = QUERIES["op7_shard"](spark, odd).collect()
     check_shards(rows, 16)
@@ -299,6 +354,14 @@ def test_warc_files_are_readable_alone(spark, odd, tmp_path):
     assert got == want
 
 
+def test_a_task_reads_each_archive(spark, odd, tmp_path):
+    pages = spark.read.parquet(f"{odd}/pages.parquet").repartition(3)
+    manifest = warc.write(pages, f"file://{tmp_path}/w")
+    read = warc.read(manifest)
+    assert read.rdd.getNumPartitions() == manifest.count()
+    assert read.count() == len(ODD["pages"])
+
+
 def test_packed_pieces_are_whole(spark, odd):
     encoder = packing.Encoder(default_tokenizer())
     rows = QUERIES["op10_pack"](spark, odd).collect()

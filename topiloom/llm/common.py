@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -118,13 +118,38 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFrame:
-    """About 1.5 * ``bound`` of the ``rows`` rows of ``df``, picked by a hash of ``columns``;
-    four times ``bound`` at most, however often a value repeats.
+    """``bound`` of the ``rows`` rows of ``df``: those with the least hash of ``columns``, added as ``_h``.
 
-    Adds ``_h``; the ``bound`` rows with the least make a sample that does not depend
-    on how the table is stored.  Only picked rows leave their tasks.
+    Ties go by all columns, so the sample does not depend on how the table is stored, and
+    however often a value repeats, no more rows leave their tasks.  Only about 1.5 *
+    ``bound`` rows are sorted.
     """
     share = min(1.0, (1.5 * bound + 8) / max(1, rows))
     picked = df.withColumn("_h", F.pmod(F.xxhash64(*columns), F.lit(1 << 30))).where(F.col("_h") < int(share * (1 << 30)) + 1)
-    return picked.limit(4 * bound)
+    return picked.orderBy("_h", *df.columns).limit(bound)
 
+
+def as_row(df: DataFrame) -> DataFrame:
+    """``df`` as one column, ``row``: what is added beside it clashes with none of its names."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def field(name: str) -> Column:
+    """A column of the rows of :func:`as_row`."""
+    return F.col("row").getField(name)
+
+
+def from_row(df: DataFrame, columns: Sequence[str], **instead: Column) -> DataFrame:
+    """The ``columns`` of the rows of :func:`as_row`, some of them replaced."""
+    return df.select(*(instead.get(c, field(c)).alias(c) for c in columns))
+
+
+#: No more than so many keys of a table can each have a share of rows above 1 / ``HOT_KEYS``.
+HOT_KEYS = 100_000
+HOT_ROWS = 1_000
+
+
+def hot_rows(rows: int) -> int:
+    """The number of rows beyond which a key counts as hot.  At most ``HOT_KEYS`` keys can
+    have more, so a table of hot keys is small enough to broadcast, however large the input."""
+    return max(HOT_ROWS, rows // HOT_KEYS)

@@ -1,10 +1,14 @@
 """K-d tree sharding: leaves of near equal bytes.
 
-Rows are points over numeric metadata.  A node that stands for n shards is split
-into n // 2 and the rest along the dimension in which its rows lie widest (as a
-share of the whole table's range), at the weighted median: the place that divides
-its bytes in proportion.  Splitting ends when a leaf stands for one shard, and so
-holds the target bytes.
+Rows are points over numeric metadata: size, lines and words on log scales, and the
+shares of characters that are digits, capitals or outside ASCII.  All of them are facts
+of the text alone, so copies of a text are one point and are never parted by a split (their
+sources may differ, so a source is no dimension).  A node that stands for n shards is
+split into n // 2 and the rest along the dimension in which its rows lie widest, at the
+weighted median: the place that divides its bytes in proportion.  Width is the range from
+the 5th to the 95th percentile, as a share of the same range of the whole table, so that
+neither a scale nor a few odd rows decide.  Splitting ends when a leaf stands for one
+shard, and so holds the target bytes.
 
 Medians are found by refinement: quantiles propose cuts, one aggregation weighs the
 intervals between them, and the interval that holds the median is looked at next.
@@ -24,7 +28,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,10 @@ from topiloom.llm.common import cut, ranked
 SHARDS = 16
 #: A cut may miss the median by this share of a shard's bytes.
 SLACK = 0.005
+#: Percentiles between which a dimension's width is measured.
+WIDTH = (0.05, 0.95)
+DIMENSIONS = ("log_size", "log_lines", "log_words", "digits", "capitals", "non_ascii")
+TIES = ("_text", "_id")
 _CUTS = 32
 _LEAST = -(1 << 63)
 
@@ -153,29 +161,35 @@ def _refine(rows: DataFrame, root: Node, names: list[str], searches: list[_Searc
             break
 
 
-def build(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int, slack: float = SLACK) -> tuple[Node, int]:
+def _width(found, total, dimension: str) -> float:
+    """A node's width in ``dimension``, in widths of the whole table."""
+    whole = total[dimension][1] - total[dimension][0]
+    return (found[dimension][1] - found[dimension][0]) / whole if whole else 0.0
+
+
+def build(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, ties: Sequence[str] = TIES, shards: int = SHARDS, slack: float = SLACK) -> tuple[Node, int]:
     """The tree over ``rows`` (a stored table with long columns and ``size``), and their number."""
-    names = [*dimensions, *ties, "size"]
-    ranges = [f(F.col(d)).alias(f"{k}_{d}") for d in dimensions for k, f in (("lo", F.min), ("hi", F.max))]
+    names = list(dict.fromkeys([*dimensions, *ties, "size"]))
+    ranges = [F.percentile_approx(d, list(WIDTH), 1000).alias(d) for d in dimensions]
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), *ranges).first()
     root = Node(0, shards)
     level = [root] if total["n"] and shards > 1 else []
     target = (total["w"] or 0) / shards
-    placed_schema = "at int, " + ", ".join(f"{n} long" for n in dict.fromkeys(names))
+    placed_schema = "at int, w long, " + ", ".join(f"{d} long" for d in dimensions)
 
     def spread(columns, at, batch):
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(columns[n]) for n in dict.fromkeys(names))], names=["at", *dict.fromkeys(names)])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(columns[n]) for n in ("size", *dimensions))], names=["at", "w", *dimensions])
 
     while level:
-        spans = {r["at"]: r for r in _each(rows, root, names, spread, placed_schema).groupBy("at").agg(F.sum("size").alias("w"), *ranges).collect()}
+        spans = {r["at"]: r for r in _each(rows, root, names, spread, placed_schema).groupBy("at").agg(F.sum("w").alias("w"), *ranges).collect()}
         searches = []
         for node in level:
             if node.first not in spans:  # no rows have come here
                 continue
-            r = spans[node.first]
-            width = lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, total[f"hi_{d}"] - total[f"lo_{d}"])  # noqa: B023, E731
-            want = r["w"] * (node.leaves // 2) / node.leaves
-            searches.append(_Search(node, [max(dimensions, key=width), *ties], want, slack * target))
+            found = spans[node.first]
+            want = found["w"] * (node.leaves // 2) / node.leaves
+            widest = max(dimensions, key=lambda d: _width(found, total, d))  # noqa: B023
+            searches.append(_Search(node, [widest, *ties], want, slack * target))
         while searching := [s for s in searches if not s.done]:
             _refine(rows, root, names, searching)
         level = []
@@ -187,13 +201,21 @@ def build(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int,
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, lines, _text, _id): what the tree sees of a document."""
+    """(doc_id, size, text_crc32, dimensions, _text, _id): what the tree sees of a document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    without = lambda what: F.length(text) - F.length(F.translate(text, what, ""))
+    log = lambda x: F.round(F.log2(x + 1) * (1 << 20)).cast("long")
+    share = lambda x, of: F.round(x / F.greatest(of, F.lit(1)) * (1 << 20)).cast("long")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines"),
+        log(F.octet_length(text)).alias("log_size"),
+        log(without("\n")).alias("log_lines"),
+        log(without(" ")).alias("log_words"),
+        share(without("0123456789"), F.length(text)).alias("digits"),
+        share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.length(text)).alias("capitals"),
+        share(F.octet_length(text) - F.length(text), F.octet_length(text)).alias("non_ascii"),
         F.shiftright(F.xxhash64(text), 11).alias("_text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_id"),
     )
@@ -202,12 +224,12 @@ def metadata(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``."""
     rows = cut(metadata(docs), "metadata")
-    tree, n = build(rows, ["size", "lines", "text_crc32"], ["_text", "_id"], shards, slack)
-    names = ["size", "lines", "text_crc32", "_text", "_id"]
+    tree, n = build(rows, DIMENSIONS, TIES, shards, slack)
+    names = [*DIMENSIONS, *TIES, "size"]
 
     def with_shard(columns, at, batch):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "shard"])
 
     placed = _each(rows, tree, names, with_shard, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())]))
-    out = ranked(placed, ["shard"], ["_text", "_id"], "slot", n)
+    out = ranked(placed.select("doc_id", "size", "text_crc32", "shard", *TIES), ["shard"], list(TIES), "slot", n)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

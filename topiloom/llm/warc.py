@@ -6,8 +6,10 @@ payload; the others are revisits, which point at it.  An archive (``.warc.zst``)
 begins with a skippable frame that embeds the dictionary; then every record is a
 Zstandard frame of its own, so that any record can be read alone.
 
-The dictionary is trained on a bounded sample of the records (``SAMPLE_RECORDS``,
-``SAMPLE_BYTES``).  Where a table is too small to train on, archives have none.
+The dictionary is trained on a bounded sample of the records: ``SAMPLE_RECORDS`` of them
+by a hash, of each the header and the first ``SAMPLE_CHARS`` characters of the payload (what
+pages share stands there), ``SAMPLE_BYTES`` in all.  Only training sees a sample; records
+are written whole.  Where a table is too small to train on, archives have none.
 
 Archives are written by the tasks themselves to the shared folder, each under a name
 of its own attempt; the stored manifest lists only those of attempts that succeeded.
@@ -38,6 +40,7 @@ from topiloom.llm.common import cut, fresh_path, hash_sample
 MIN_BYTES = 0
 SAMPLE_RECORDS = 1000
 SAMPLE_BYTES = 4 << 20
+SAMPLE_CHARS = 4 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 ROLL_BYTES = 256 << 20
@@ -85,12 +88,12 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 
 def _sample(pages: DataFrame) -> list[bytes]:
-    """Records to train on: the first by a hash of their ids, within both bounds."""
-    picked = hash_sample(pages.select("page_id", "html"), SAMPLE_RECORDS, pages.count(), "page_id")
-    rows = picked.select("_h", "page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 64).alias("html"))
+    """Records to train on: the first by a hash of their ids, within all three bounds."""
+    head = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html")
+    picked = hash_sample(pages.select("page_id", head), SAMPLE_RECORDS, pages.count(), "page_id")
     out, size = [], 0
-    for _, page_id, html in sorted((r["_h"], r["page_id"] or 0, r["html"]) for r in rows.toLocalIterator())[:SAMPLE_RECORDS]:
-        out.append(record(page_id, None, html.encode(), None, False, digest(b"")))
+    for r in picked.collect():
+        out.append(record(r["page_id"], None, r["html"].encode(), None, False, digest(b"")))
         size += len(out[-1])
         if size > SAMPLE_BYTES:
             break
@@ -231,8 +234,10 @@ def read(manifest: DataFrame) -> DataFrame:
                             out = []
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    # one file at a time goes to a task, whichever has room
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    # A task for every file: the number is given, so that adaptive execution does not join
+    # them, and names are random, so that ranges of them part the files one from another.
+    files = max(1, manifest.count())
+    return manifest.select("path").repartitionByRange(files, "path").mapInArrow(run, READ)
 
 
 def _described(fields: dict[str, str], block: bytes) -> dict:
