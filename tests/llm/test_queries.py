@@ -281,7 +281,11 @@ def test_shards_are_near_equal(spark):
 def brute_tree(rows, shards, at=0, whole=None):
     """{row number: shard} and the split dimensions, by sorting."""
     cut_at = lambda values, p: sorted(values)[max(0, -(-int(p * 100) * len(values) // 100) - 1)]
-    spread = lambda own, d: cut_at([r[d] for r in own], 0.95) - cut_at([r[d] for r in own], 0.05)
+
+    def spread(own, d):
+        low, mid, high = (cut_at([r[d] for r in own], p) for p in (0.05, 0.5, 0.95))
+        return min(mid - low, high - mid)
+
     whole = whole or {d: spread(rows, d) for d in sharding.DIMENSIONS}
     if shards == 1 or not rows:
         return {r["n"]: at for r in rows}, []

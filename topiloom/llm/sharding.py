@@ -5,9 +5,10 @@ shares of characters that are digits, capitals or outside ASCII.  All of them ar
 of the text alone, so copies of a text are one point and are never parted by a split (their
 sources may differ, so a source is no dimension).  A node that stands for n shards is
 split into n // 2 and the rest along the dimension in which its rows lie widest, at the
-weighted median: the place that divides its bytes in proportion.  Width is the range from
-the 5th to the 95th percentile, as a share of the same range of the whole table, so that
-neither a scale nor a few odd rows decide.  Splitting ends when a leaf stands for one
+weighted median: the place that divides its bytes in proportion.  Width is measured from
+the median to the 5th and the 95th percentile, and the shorter way counts, as a share of
+the same of the whole table: so neither a scale nor a few odd rows decide, and a dimension
+in which half of the rows are equal is not split through them.  Splitting ends when a leaf stands for one
 shard, and so holds the target bytes.
 
 Medians are found by refinement: quantiles propose cuts, one aggregation weighs the
@@ -41,8 +42,8 @@ from topiloom.llm.common import cut, ranked
 SHARDS = 16
 #: A cut may miss the median by this share of a shard's bytes.
 SLACK = 0.005
-#: Percentiles between which a dimension's width is measured.
-WIDTH = (0.05, 0.95)
+#: Percentiles by which a dimension's width is measured.
+WIDTH = (0.05, 0.5, 0.95)
 DIMENSIONS = ("log_size", "log_lines", "log_words", "digits", "capitals", "non_ascii")
 TIES = ("_text", "_id")
 _CUTS = 32
@@ -163,8 +164,8 @@ def _refine(rows: DataFrame, root: Node, names: list[str], searches: list[_Searc
 
 def _width(found, total, dimension: str) -> float:
     """A node's width in ``dimension``, in widths of the whole table."""
-    whole = total[dimension][1] - total[dimension][0]
-    return (found[dimension][1] - found[dimension][0]) / whole if whole else 0.0
+    own, whole = (min(mid - low, high - mid) for low, mid, high in (found[dimension], total[dimension]))
+    return own / whole if whole else 0.0
 
 
 def build(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, ties: Sequence[str] = TIES, shards: int = SHARDS, slack: float = SLACK) -> tuple[Node, int]:
