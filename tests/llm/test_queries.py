@@ -211,6 +211,37 @@ def test_language_of_odd_texts(spark, odd):
     assert {r["lang_pred"] for r in langid.report(none).collect()} == {"und"}
 
 
+def test_language_sampling_takes_a_fixed_number_of_jobs(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * (5000 if i % 50 == 0 else 5), ("x", "y", "z")[i % 3]) for i in range(600)], "doc_id long, text string, lang string")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(parts):
+        spark.sparkContext.setJobGroup(f"sample-{parts}", "")
+        found = langid.sample(docs.repartition(parts), F.lit(True), docs_bound=90)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {y for _, y in found} == {"x", "y", "z"} and len(found) <= 90
+        assert max(len(t) for t, _ in found) <= langid.TRAIN_CHARS
+        return len(tracker.getJobIdsForGroup(f"sample-{parts}")), found
+
+    (few, one), (many, other) = jobs(2), jobs(40)
+    assert many <= few + 2 and one == other
+
+
+def test_unclear_documents_go(spark):
+    rows = [(i, "the and of to in is that it was for on are as with his they at be this " * 3, "en") for i in range(60)]
+    rows += [(100 + i, "der die das und ist nicht ein eine von mit auf dem den des im zu sich " * 3, "de") for i in range(60)]
+    rows += [(200, "12 34 !!", "en"), (201, None, "de"), (None, "the and of to in is that it was for", None), (202, "und das ist nicht ein von mit", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("lang_pred", "score", "runs", "_letter", "letter", "row", "_h", "h", "label", "rank"):
+        docs = docs.withColumn(c, F.lit("own"))
+    kept = langid.drop_unidentified(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} - {200, 201} and all(r["score"] == r["row"] == "own" for r in got)
+    told = langid.identify(docs).select("doc_id", "lang_pred", "letter").where("doc_id = 202").first()
+    assert told["lang_pred"] == "de" and told["letter"] == "own"
+
+
 def test_licences_in_documents(spark, odd):
     by = {r["doc_id"]: r["families"] for r in QUERIES["op6_licenses"](spark, SF).collect()}
     planted = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Apache License, Version 2.0.": "apache-2.0", "GNU General Public License, version 3.": "gpl", "Released under the MIT License.": "mit"}

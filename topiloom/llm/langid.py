@@ -8,15 +8,19 @@ Learned transitions tie neighbouring labels together.  Forward-backward gives ev
 word's posterior; the text's language is the label with the largest mean posterior,
 and that mean is the score.
 
-Training takes a bounded sample of labelled rows (``TRAIN_DOCS`` texts, ``TRAIN_WORDS``
-words) to the driver.  Sequences are spliced from pieces of several texts, so that
-switches are there to be learned.  Prediction streams over whole texts; a text of any
-length keeps one pass forward and one back.
+Training takes a bounded sample of labelled rows to the driver: about equally many texts
+of each label, ``TRAIN_DOCS`` in all, picked by a hash, of each a stretch of ``TRAIN_CHARS``
+characters that begins at a hashed place, and of these ``TRAIN_WORDS`` words.  Only the
+``TRAIN_LABELS`` most frequent labels are learned.  The sample takes two jobs, however many
+partitions there are.  Sequences are spliced from pieces of several texts, so that switches
+are there to be learned.  Prediction streams over whole texts; a text of any length keeps
+one pass forward and one back.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; rows
 without a label are predicted but not learned from; without any labelled row all are
 ``und``; repeated rows and null ids are rows of their own; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are kept as they are, but ``lang_pred`` and ``score`` of
+:func:`identify` take the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -26,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
+from topiloom.llm.common import field, from_row
 
 UNKNOWN = "und"
-#: A document is rejected when even its likeliest language has a lower score: short of
-#: a third, no language stands out.
-LEAST_SCORE = 0.3
+#: A document is rejected when the score of its likeliest language is less than this share
+#: of the way from chance (one over the number of languages) to certainty.
+LEAST_EXCESS = 0.2
 BITS = 17
 TRAIN_DOCS = 1600
+TRAIN_CHARS = 2000
+TRAIN_LABELS = 200
 TRAIN_WORDS = 160_000
 PIECE_WORDS = 12
 SEQUENCE_WORDS = 36
@@ -243,59 +250,61 @@ def _pair_counts(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.nd
     return total
 
 
-def sample(docs: DataFrame, learnable: Column, label: str = "lang", docs_bound: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """About equally many texts per label, ``docs_bound`` in all, the first by a hash."""
-    rows = docs.where(learnable & F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+def sample(docs: DataFrame, learnable: Column, label: str = "lang", docs_bound: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
+    """About equally many texts per label, the first by a hash, each cut to ``chars`` characters."""
+    text, tag = F.col("text").cast("string"), F.col(label).cast("string")
+    rows = docs.where(learnable & tag.isNotNull() & text.isNotNull()).select(tag.alias("label"), text.alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(TRAIN_LABELS).collect()}
     if not counts:
         return []
     quota = max(8, docs_bound // len(counts))
     share = F.create_map(*(F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 1.5 * quota / n + 8 / n))))
-    picked = rows.withColumn("_h", F.xxhash64("doc_id", "text")).where((F.pmod("_h", F.lit(1 << 30)) / F.lit(1 << 30)) < share[F.col(label)])
-    taken: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("_h", F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label")).toLocalIterator():
-        taken.setdefault(r["label"], []).append((r["_h"], r["text"]))
-    return [(t, y) for y in sorted(taken) for _, t in sorted(taken[y])[:quota]]
+    picked = rows.where((F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)) < F.coalesce(share[F.col("label")], F.lit(0.0)))
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    picked = picked.select("label", "h", F.substring("text", F.pmod(F.shiftright("h", 30), room).cast("int") + 1, F.lit(chars)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+    kept = picked.withColumn("rank", rank).where(F.col("rank") <= quota)
+    return [(r["text"], r["label"]) for r in sorted(kept.collect(), key=lambda r: (r["label"], r["rank"]))]
 
 
 def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score; ``with_runs`` adds the labelled runs of words."""
-    letters = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    text_at = docs.columns.index("text")
+    """row (all columns of ``docs``), lang_pred and score; ``with_runs`` adds the labelled runs of words."""
+    text = F.col("text").cast("string")
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
     empty_runs = F.array().cast("array<struct<start:long,stop:long,lang:string>>")
-    shape = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({"runs": empty_runs} if with_runs else {})).schema
+    shape = wide.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *([empty_runs.alias("runs")] if with_runs else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
-        move = np.exp(field.moves) if field else None
+        crf = shared.value
+        move = np.exp(crf.moves) if crf else None
         for batch in batches:
-            for row, data, offsets in bw.slices(batch.column(text_at), SLICE_BYTES):
+            for row, data, offsets in bw.slices(batch.column(1), SLICE_BYTES):
                 part = batch.slice(row, len(offsets) - 1)
-                has_letter = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
+                has_letter = part.column(2).to_numpy(zero_copy_only=False)
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 runs: list[list[dict]] = [[] for _ in names]
-                if field:
+                if crf:
                     starts, ends, first = bw.words(data, offsets, bw.ALPHA)
                     hashes = bw.word_hashes(data, starts, ends)
                     _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                    emit = _softened(field.unary(data, starts[at], ends[at], hashes[at]))[inverse]
+                    emit = _softened(crf.unary(data, starts[at], ends[at], hashes[at]))[inverse]
                     gamma = posteriors(emit, move, first)
                     sums = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)])
                     size = np.diff(first)
                     mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(size, 1)[:, None]
                     best = mean.argmax(axis=1)
                     for k in np.flatnonzero(has_letter & (size > 0)).tolist():
-                        names[k], scores[k] = field.labels[best[k]], min(1.0, max(0.0, mean[k, best[k]]))
+                        names[k], scores[k] = crf.labels[best[k]], min(1.0, max(0.0, mean[k, best[k]]))
                         if with_runs:
                             own = gamma[first[k] : first[k + 1]].argmax(axis=1)
                             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-                            runs[k] = [{"start": a, "stop": b, "lang": field.labels[own[a]]} for a, b in zip(cuts, cuts[1:])]
+                            runs[k] = [{"start": a, "stop": b, "lang": crf.labels[own[a]]} for a, b in zip(cuts, cuts[1:])]
                 made = [pa.array(names, pa.string()), pa.array(scores)] + ([pa.array(runs, run_type)] if with_runs else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=shape.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=shape.names)
 
-    return letters.mapInArrow(run, shape)
+    return wide.mapInArrow(run, shape)
 
 
 def held_out() -> Column:
@@ -303,22 +312,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang) with lang_pred and score, learned from its own rows."""
+def _learned(docs: DataFrame) -> Model | None:
     learned = sample(docs, ~held_out() & F.col("doc_id").isNotNull())
-    return predict(docs.drop("lang_pred", "score"), train(learned) if learned else None)
+    return train(learned) if learned else None
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, lang) with lang_pred and score, learned from its own rows;
+    columns of these names are replaced."""
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return predict(docs, _learned(docs)).select(*(field(c).alias(c) for c in kept), "lang_pred", "score")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    learned = sample(docs, ~held_out() & F.col("doc_id").isNotNull())
-    predicted = predict(docs.select("doc_id", "text"), train(learned) if learned else None)
-    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    predicted = predict(docs.select("doc_id", "text"), _learned(docs))
+    return predicted.select(field("doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those that have no letter or no clear language."""
-    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "runs")]
-    told = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}))
-    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
+def drop_unidentified(docs: DataFrame, least_excess: float = LEAST_EXCESS) -> DataFrame:
+    """``docs`` without those that have no letter or no clear language; without any
+    labelled row no language is known, and all go."""
+    model = _learned(docs)
+    chance = 1 / len(model.labels) if model else 1.0
+    clear = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= chance + least_excess * (1 - chance))
+    return from_row(predict(docs, model).where(clear), docs.columns)
