@@ -157,6 +157,14 @@ def test_chat_parts(spark):
     assert out["formatted"][span["start"] : span["stop"]] == "ok<|document:3|>!"
 
 
+def test_odd_chat_parts(spark):
+    part = lambda **k: {f: k.get(f) for f in ("type", "text", "ref", "width", "height", "seconds", "pages")}
+    rows = [(1, 0, "user", [part(type="video", ref="v.mp4", seconds=3.0), part(type="image", ref="no-size.png"), part(text="<|x|>"), part(type="<|", ref="r")])]
+    out = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")).first()
+    assert [(a["type"], a["ordinal"], a["ref"], a["tokens"]) for a in out["attachments"]] == [("video", 1, "v.mp4", 0), ("image", 2, "no-size.png", 0), ("<|", 3, "r", 0)]
+    assert out["attachment_tokens"] == 0 and "<|video:1|><|image:2|><\u241b-|x|\u241b->" in out["formatted"]
+
+
 def test_secret_ledger_scans_only_what_is_new(spark):
     paths = spark.createDataFrame([(1, "secret = abcdef"), (2, "secret = abcdef"), (3, "none")], "doc_id long, text string")
     first, ledger = secrets.scan(paths)

@@ -19,7 +19,10 @@ turns meet in one group; that group is the output itself.
 Defined cases: a null text or part is empty; a null role is an empty role; a null
 turn comes first; turns with equal numbers stand in order of role, then content;
 repeated rows stay; rows with a null id form one conversation; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored.  A part of an unknown type is an attachment like any
+other, with a placeholder and a reference; it expands to no tokens, and so does an image,
+audio or document part whose size is missing, as a count would be a guess.  A part without
+a type is text.
 """
 
 from __future__ import annotations

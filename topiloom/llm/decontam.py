@@ -20,20 +20,23 @@ many blocks takes one pass per block, with the hits so far carried along.
 Defined cases: null or empty texts have no words and no hits; null item ids match
 but are not listed; items of equal id count once; repeated documents each get
 their row; an empty benchmark leaves all documents clean; an empty table gives no
-rows; other columns are ignored, whatever they are called.
+rows; other columns are kept as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import cut
+from topiloom.llm.common import as_row, cut, field, from_row
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -155,36 +158,47 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str | Non
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with _n_words, _spans (merged [start, end) in words) and _items (ids, sorted)."""
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<start:long,end:long>>"), "_items": F.array().cast("array<string>")})
-    schema = out.schema
+    """row (all columns of ``docs``), n_words, spans (merged [start, end) in words) and items (ids, sorted)."""
+    out = as_row(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
     first_block = True
     for items in _blocks(benchmark, block_bytes):
         if not first_block:
             out = cut(out, "spans")
-        out = _pass(out, schema, items, window)
+        out = _pass(out, items, window)
         first_block = False
-    return out if not first_block else _pass(out, schema, [], window)
+    return out if not first_block else _pass(out, [], window)
 
 
-def _pass(docs: DataFrame, schema, items: list[tuple[str | None, str]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    text_at = docs.columns.index("text")
+_INDEX: dict[str, Index] = {}
+
+
+def _index(name: str, shared: Broadcast, window: int) -> Index:
+    """A worker builds the index of a block once, whatever the number of its tasks."""
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(shared.value, window)
+    return _INDEX[name]
+
+
+def _pass(docs: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    text_at = docs.schema["row"].dataType.names.index("text")
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, window)
+        index = _index(name, shared, window)
         for batch in batches:
-            for row, data, offsets in bw.slices(batch.column(text_at)):
+            for row, data, offsets in bw.slices(pc.struct_field(batch.column(0), text_at)):
                 part = batch.slice(row, len(offsets) - 1)
                 first, found = index.hits(data, offsets)
-                spans, ids = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                spans, ids = part.column(2).to_pylist(), part.column(3).to_pylist()
                 for text, hits in found.items():
                     spans[text] = merge([(s["start"], s["end"]) for s in spans[text]] + [(a, b) for a, b, _ in hits])
                     ids[text] = sorted({*ids[text], *(index.ids[i] for _, _, i in hits if index.ids[i] is not None)})
-                made = [pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-3], *made], names=batch.schema.names)
+                made = [pa.array(np.diff(first), pa.int64()), pa.array(spans, span_type), pa.array(ids, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -200,17 +214,17 @@ def merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def report(found: DataFrame) -> DataFrame:
     """Counts and digest of :func:`find_spans`, per document."""
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
+        field("doc_id").alias("doc_id"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold any benchmark window."""
-    return find_spans(docs, benchmark, window).where(F.size("_spans") == 0).select(*docs.columns)
+    return from_row(find_spans(docs, benchmark, window).where(F.size("spans") == 0), docs.columns)

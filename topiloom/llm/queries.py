@@ -20,7 +20,7 @@ def default_tokenizer() -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return decontam.report(found)
 
 
