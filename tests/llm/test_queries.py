@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,6 +44,7 @@ ODD = {
         (8, "ü " * 30_000, "de", "hot", 60_000),
         (9, "secret: token: abcdef\napi_key='x' PASSWD=\"ABCdef.123\"", "en", "s", 40),
         (10, "Released under the MIT License.\nthe and of to in is that it was", "en", "s", 40),
+        (11, "k: -----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END\n ghp_" + "0aB" * 12 + " xoxb-1234567890-ab eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl é", "en", "s", 40),
     ],
     "benchmark": [(1, PASSAGE), (2, None), (3, "vielen Booten"), (3, "vielen Booten"), (None, "hunter22"), (4, "")],
     "conversations": [
@@ -165,18 +167,52 @@ def test_odd_chat_parts(spark):
     assert out["attachment_tokens"] == 0 and "<|video:1|><|image:2|><\u241b-|x|\u241b->" in out["formatted"]
 
 
-def test_secret_ledger_scans_only_what_is_new(spark):
-    paths = spark.createDataFrame([(1, "secret = abcdef"), (2, "secret = abcdef"), (3, "none")], "doc_id long, text string")
-    first, ledger = secrets.scan(paths)
-    assert {r["doc_id"]: len(r["found"]) for r in first.collect()} == {1: 1, 2: 1, 3: 0}
-    assert ledger.count() == 2
-    known = ledger.persist()
-    later = paths.unionByName(spark.createDataFrame([(4, "token: 123456"), (5, "secret = abcdef")], "doc_id long, text string"))
-    second, fresh = secrets.scan(later, known)
-    assert fresh.count() == 1
-    assert {r["doc_id"]: len(r["found"]) for r in second.collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
-    _, other_rules = secrets.scan(later, known, rule_version="2")
-    assert other_rules.count() == 3
+def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows().count() == 0
+
+    def run(rows, rule_sets):
+        paths = secrets.name_paths(spark.createDataFrame(rows, "doc_id long, text string"))
+        before = ledger.rows().count()
+        secrets.update(ledger, paths, rule_sets)
+        found = secrets.found_in(paths, ledger.rows(), rule_sets).collect()
+        return ledger.rows().count() - before, Counter((r["doc_id"], sum(len(f) for f in (r["found"] or {}).values())) for r in found)
+
+    rows = [(1, "secret = abcdef"), (2, "secret = abcdef"), (3, "none")]
+    assert run(rows, (secrets.BASE,)) == (2, Counter({(1, 1): 1, (2, 1): 1, (3, 0): 1}))
+    rows += [(4, "token: 123456"), (5, "secret = abcdef"), (6, "ghp_" + "Zy9" * 12)]
+    assert run(rows, (secrets.BASE,))[0] == 2
+    new, found = run(rows, secrets.RULE_SETS)
+    assert new == 4 and found[6, 1] == 1  # the four blobs, for the rules that were not there before
+    # a run that was repeated, or overlapped, has written its pairs twice
+    ledger.append(ledger.rows().persist())
+    new, found = run(rows, secrets.RULE_SETS)
+    assert new == 0 and found == Counter({(i, 0 if i == 3 else 1): 1 for i in range(1, 7)})
+
+
+def test_a_hot_blob_meets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "hot_rows", lambda rows: 10)
+    rows = [(i, "secret = abcdef") for i in range(95)] + [(95, "password = hunter22"), (96, "x"), (96, "x"), (None, "secret = abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    paths = secrets.name_paths(docs)
+    got = secrets.report(secrets.found_in(paths, secrets.scan(paths))).collect()
+    assert Counter((r["doc_id"], r["n_assign"]) for r in got) == Counter((i, int("=" in t)) for i, t in rows)
+    assert Counter(r["text"] for r in secrets.redact(docs).collect()) == Counter({"[SECRET]": 97, "x": 2})
+
+
+def test_many_findings_in_one_text(spark):
+    n = 16_000
+    text = "".join(f"é{i} token=abcdef{i % 10} and prose, " for i in range(n))
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "secret = short", 14)], "doc_id long, text string, n_chars long")
+    paths = secrets.name_paths(docs)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.report(secrets.found_in(paths, secrets.scan(paths))).collect()}
+    took = time.perf_counter() - began
+    assert got[1]["n_assign"] == n and got[1]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_secrets(text))
+    began = time.perf_counter()
+    by = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert by[1]["text"] == re.sub(r"token=abcdef\d", "[SECRET]", text) and by[1]["n_chars"] == len(by[1]["text"]) and by[2]["text"] == "secret = short"
+    assert took < 10 and time.perf_counter() - began < 10
 
 
 def test_redaction(spark):
@@ -184,6 +220,16 @@ def test_redaction(spark):
     by = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
     assert by[1][0] == "é [SECRET], [SECRET]' end" and by[1][1] == len(by[1][0])
     assert by[2] == ("clean", 5) and by[3] == (None, None)
+    edge = [(i, "x" * (4096 - 12 + i) + "secret = 0123456789 " + "y" * 8200, None) for i in range(0, 24, 3)]
+    edge += [(100, "token=abcdef", None), (101, "hex 0123456789abcdef0123456789abcdef token=0123456789abcdef0123456789 ghp_" + "Ab1" * 13, None)]
+    for c in ("_hit", "_found", "_blob", "blob", "row", "_suspect", "gaps", "at", "last", "chunks", "new", "_salt", "_hot"):
+        docs = docs.withColumn(c, F.lit("own"))
+    docs = docs.limit(0).unionByName(spark.createDataFrame(edge, "doc_id long, text string, n_chars long"), allowMissingColumns=True)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    by = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(by[i] == "x" * (4096 - 12 + i) + "[SECRET] " + "y" * 8200 for i in range(0, 24, 3))
+    assert by[100] == "[SECRET]" and by[101] == "hex [SECRET] [SECRET] [SECRET]"
 
 
 def test_components(spark):
@@ -438,6 +484,8 @@ def brute_secrets(text):
             spans.append((m.start(), 0, m.end(), "assign"))
     spans += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    for rank, rule in enumerate(secrets.EXTRA_RULES, 3):
+        spans += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern, text)]
     return sorted(spans)
 
 
@@ -445,3 +493,4 @@ def test_secrets_equal_python(spark, odd):
     got = {r["doc_id"]: r["spans"] for r in QUERIES["op4_secrets"](spark, odd).collect()}
     for i, t, *_ in ODD["documents"]:
         assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_secrets(t or ""))
+    assert [x.split(":")[0] for x in got[11].split(",")] == ["key", "github", "slack", "jwt"]

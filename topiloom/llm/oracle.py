@@ -56,22 +56,29 @@ def _secret_spans(kind: str, rank: int, pattern: str, condition: str) -> str:
   ) WHERE {condition}"""
 
 
-# The same fixed patterns as in secrets.RULES.
+# The same fixed patterns as in secrets.BASE_RULES and EXTRA_RULES.
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 _VALUE = r"""[A-Za-z]["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""  # in SQL quotes
 
+_KEY = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\r\n]*"
+
 OP4 = f"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 found AS ({_secret_spans('assign', 0, _ASSIGN, f"len(regexp_extract(m[k], '{_VALUE}', 1)) >= 6")}
   UNION ALL {_secret_spans('access', 1, 'AKIA[A-Z0-9]+', 'len(m[k]) >= 20')}
-  UNION ALL {_secret_spans('hex', 2, '[0-9a-f]+', 'len(m[k]) >= 24')}),
+  UNION ALL {_secret_spans('hex', 2, '[0-9a-f]+', 'len(m[k]) >= 24')}
+  UNION ALL {_secret_spans('key', 3, _KEY, 'true')}
+  UNION ALL {_secret_spans('github', 4, 'gh[pousr]_[A-Za-z0-9]{36,}', 'true')}
+  UNION ALL {_secret_spans('slack', 5, 'xox[abprs]-[A-Za-z0-9-]{10,}', 'true')}
+  UNION ALL {_secret_spans('jwt', 6, 'eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}', 'true')}),
 spans AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY pos, rank) FILTER (rank < 3) AS b,
          string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY pos, rank) AS s
   FROM found GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM texts LEFT JOIN spans USING (r)
 """
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topiloom.llm import chat, covertree, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
-from topiloom.llm.common import table
+from topiloom.llm.common import fresh_path, table
 
 
 def default_tokenizer() -> str:
@@ -37,8 +37,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
-    return secrets.report(found)
+    paths = secrets.name_paths(table(spark, sf_dir, "documents"))
+    ledger = secrets.Ledger(spark, fresh_path(spark, "ledger"))
+    # the base rules first; then a later run with more rules, which scans for those alone
+    secrets.update(ledger, paths, (secrets.BASE,))
+    secrets.update(ledger, paths)
+    return secrets.report(secrets.found_in(paths, ledger.rows()))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,33 +1,42 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every historical version of a text is a *path* (a document row) that points at a
-*blob*, named by the SHA-256 of its content.  A ledger tells which pairs of blob
+*blob*, named by the SHA-256 of its content.  A stored ledger tells which pairs of blob
 and rule version have been scanned, with what result.  A scan
 
-1. names the blob of every path,
+1. names the blob of every path (:func:`name_paths`),
 2. keeps one copy of each blob and drops the pairs that the ledger knows,
-3. runs the rules over what is left, and
-4. joins all findings, old and new, back to all paths.
+3. runs the rules over what is left and appends the results (:func:`update`), and
+4. joins all findings, old and new, back to all paths (:func:`found_in`).
 
 So a text that occurs a thousand times, or in a thousand versions, is scanned once
-per rule version.  All of it is DataFrame expressions; no Python runs on rows.
+per rule version, and a new rule version scans for its own rules only.  All of it is
+DataFrame expressions; no Python runs on rows.
+
+A text can only hold a finding if some rule's pattern occurs in it.  That is tested where
+the text is read; only texts that pass are shuffled, of all others only the names.
 
 The rules are leftmost, non-overlapping matches of fixed patterns, with conditions
 on the matched text; positions are code points, end exclusive.  Spark returns the
-texts of all matches but not their places; these come from the lengths of the
-pieces between matches.
+texts of all matches but not their places; these are running sums of the lengths of
+matches and of the pieces between them, so work grows in proportion to findings.
+
+A blob that very many paths share is joined back in salted parts.
 
 Defined cases: a null text is the empty blob; repeated rows and equal or null ids
-are paths of their own; an empty table gives no rows; other columns are ignored.
+are paths of their own; a pair that the ledger holds more than once counts once; an
+empty table gives no rows; other columns are ignored, and kept by :func:`redact`.
 """
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topiloom.llm.common import cut, field, from_row, hot_rows
+
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
@@ -38,11 +47,11 @@ class Rule:
     fold: bool = False
 
 
-# The three rules, in the order in which their kinds are listed.
+# The three base rules, in the order in which their kinds are listed.
 # A least length of one repeated class stands in the pattern: a run that is too
 # short matches nothing and longer ones match as before.  A short value of an
 # assignment does take its characters, so that length is tested afterwards.
-RULES = (
+BASE_RULES = (
     Rule(
         "assign",
         r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -53,101 +62,189 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, ("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}", 0, ()),
 )
-RULE_VERSION = "1"
+
+# Published forms of further credentials, listed after the base rules.
+EXTRA_RULES = (
+    Rule("key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\r\n]*", 0, ("PRIVATE KEY-----",)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, ("xox",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, ("eyJ",)),
+)
+
+
+@dataclasses.dataclass(frozen=True)
+class RuleSet:
+    version: str
+    rules: tuple[Rule, ...]
+    first: int = 0  # rank of the first rule among those of all sets
+
+
+BASE = RuleSet("base-1", BASE_RULES)
+EXTRA = RuleSet("extra-1", EXTRA_RULES, len(BASE_RULES))
+RULE_SETS = (BASE, EXTRA)
 
 FINDINGS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+LEDGER = f"blob binary, rule_version string, found {FINDINGS}"
+_PIECES = "array<struct<rank:int,kind:string,gap:int,size:int,counts:boolean>>"
+_CHUNK = 4096
 
 
-def _matches(text: Column, rule: Rule, rank: int) -> Column:
-    """All matches of one rule that meet its condition, with their places."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1)) if rule.least else whole
-    between = F.split(text, rule.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("found"))
+class Ledger:
+    """The stored ledger: a folder of Parquet files, to which scans append."""
 
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        stop = begin + m["size"]
-        hit = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind")))
-        return F.struct(stop.alias("at"), F.when(m["measure"] >= rule.least, F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"))
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
-    pieces = F.zip_with(
-        F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"))),
-        measured,
-        lambda p, m: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), F.length(m).alias("measure")),
-    )
-    found = F.when(F.size(whole) > 0, F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(F.array().cast(FINDINGS))
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").option("compression", "zstd").parquet(self.folder)
+
+    def rows(self) -> DataFrame:
+        """(blob, rule_version, found), each pair once, however often an interrupted or
+        overlapping run has written it."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.folder).dropDuplicates(["blob", "rule_version"])
+
+
+def _occurs(text: Column, rule: Rule) -> Column:
+    """Whether the rule's pattern matches anywhere; what it needs is looked for first."""
     searched = F.lower(text) if rule.fold else text
-    cue = F.lit(False) if rule.cues else text.rlike(rule.pattern)
+    cue = F.lit(not rule.cues)
     for c in rule.cues:
         cue |= searched.contains(c)
-    return F.when(cue, found).otherwise(F.array().cast(FINDINGS))
+    return cue & text.rlike(rule.pattern)
 
 
-def findings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All findings of one text, by start, then in the order of the rules."""
-    return F.array_sort(F.concat(*(_matches(text, rule, i) for i, rule in enumerate(rules))))
+def suspect(text: Column, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> Column:
+    """Whether any rule's pattern occurs in ``text``: without that there is no finding."""
+    out = F.lit(False)
+    for rule_set in rule_sets:
+        for rule in rule_set.rules:
+            out |= _occurs(text, rule)
+    return out
 
 
-def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings of every path, and the new ledger rows (blob, rule_version, found).
-
-    ``paths`` has doc_id and text.  ``ledger`` is the union of earlier runs' ledger
-    rows; its pairs of blob and rule version are not scanned again.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = paths.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
-    blobs = named.select("blob", "text").dropDuplicates(["blob"])
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version).select("blob", "found")
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    scanned = blobs.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("found"))
-    hits = scanned.where(F.size("found") > 0).select("blob", "found")
-    if ledger is not None:
-        hits = hits.unionByName(known.where(F.size("found") > 0))
-    hits = hits.select(F.col("blob").alias("_blob"), "found")
-    back = named.select("doc_id", "blob").join(hits, F.col("blob") == F.col("_blob"), "left")
-    return back.select("doc_id", "blob", F.coalesce("found", F.array().cast(FINDINGS)).alias("found")), scanned
-
-
-def report(scanned: DataFrame) -> DataFrame:
-    """Counts and digests of the first result of :func:`scan`."""
-    joined = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long")
-    return scanned.select(
+def _matches(text: Column, rule: Rule, rank: int) -> Column:
+    """All matches of one rule, with the lengths before and of each, and whether it counts."""
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1)) if rule.least else whole
+    gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
+    pieces = F.zip_with(
+        F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"))),
+        measured,
+        lambda p, m: F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), p["gap"].alias("gap"), p["size"].alias("size"), (F.length(m) >= rule.least).alias("counts")),
+    )
+    return F.when(_occurs(text, rule), pieces.cast(_PIECES)).otherwise(F.array().cast(_PIECES))
+
+
+def _blob(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def name_paths(docs: DataFrame, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
+    """(doc_id, blob, text): a stored table of every path of ``docs`` (doc_id, text), with
+    the text only where a rule may find something."""
+    text = F.col("text").cast("string")
+    return cut(docs.select(F.col("doc_id").alias("doc_id"), _blob(text).alias("blob"), F.when(suspect(text, rule_sets), text).alias("text")), "paths")
+
+
+def scan(paths: DataFrame, known: DataFrame | None = None, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
+    """New ledger rows (blob, rule_version, found): one for each pair of a blob of ``paths``
+    (blob, text) and a version of ``rule_sets`` that ``known`` (a ledger) does not have."""
+    versions = [r.version for r in rule_sets]
+    blobs = paths.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
+    done = F.array().cast("array<string>")
+    if known is not None:
+        seen = known.where(F.col("rule_version").isin(versions)).groupBy(F.col("blob").alias("_blob")).agg(F.collect_set("rule_version").alias("seen"))
+        blobs = blobs.join(seen, F.col("blob") == F.col("_blob"), "left")
+        done = F.coalesce("seen", done)
+    pieces = lambda r: F.when(F.col("text").isNotNull(), F.concat(*(_matches(F.col("text"), rule, r.first + i) for i, rule in enumerate(r.rules)))).otherwise(F.array().cast(_PIECES))
+    work = F.filter(F.array(*(F.when(~F.array_contains(done, r.version), F.struct(F.lit(r.version).alias("version"), pieces(r).alias("pieces"))) for r in rule_sets)), lambda w: w.isNotNull())
+    pairs = blobs.select("blob", F.explode(work).alias("w")).select("blob", F.col("w.version").alias("rule_version"), F.posexplode_outer("w.pieces").alias("place", "p"))
+    # rows of a blob are together already; the sums need no further shuffle
+    upto = Window.partitionBy("blob", "rule_version", "p.rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pairs.withColumn("stop", F.sum(F.col("p.gap") + F.col("p.size")).over(upto).cast("int"))
+    finding = F.when(F.col("p.counts"), F.struct((F.col("stop") - F.col("p.size")).alias("start"), F.col("p.rank").alias("rank"), F.col("stop").alias("stop"), F.col("p.kind").alias("kind")))
+    return placed.groupBy("blob", "rule_version").agg(F.array_sort(F.collect_list(finding)).cast(FINDINGS).alias("found"))
+
+
+def update(ledger: Ledger, paths: DataFrame, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> None:
+    """Scans what the ledger does not know yet and appends it."""
+    ledger.append(scan(paths, ledger.rows(), rule_sets))
+
+
+def _joined(paths: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
+    """``paths`` left-joined with ``hits``, both by blob; a hot blob meets in salted parts."""
+    limit = hot_rows(rows)
+    hot = F.broadcast(paths.groupBy(F.col("blob").alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_hot", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = paths.join(hot, F.col("blob") == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_hot", "_parts")
+    spread = hits.withColumnRenamed("blob", "_blob").join(hot, F.col("_blob") == F.col("_hot"), "left")
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(spread, (F.col("blob") == F.col("_blob")) & (F.col("_salt") == F.col("_part")), "left").drop("_blob", "_salt", "_part")
+
+
+def found_in(paths: DataFrame, ledger: DataFrame, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
+    """(doc_id, blob, found) for every row of :func:`name_paths`; ``found`` maps rule
+    versions to findings, those that found nothing left out."""
+    versions = [r.version for r in rule_sets]
+    hits = ledger.where(F.col("rule_version").isin(versions) & (F.size("found") > 0))
+    hits = hits.groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("rule_version", "found"))).alias("found"))
+    none = F.lit(None).cast(f"map<string,{FINDINGS}>")
+    may = paths.where("text IS NOT NULL").select("doc_id", "blob")
+    back = _joined(may, hits, paths.count()).select("doc_id", "blob", "found")
+    return back.unionByName(paths.where("text IS NULL").select("doc_id", "blob", none.alias("found")))
+
+
+def report(found: DataFrame) -> DataFrame:
+    """Counts and digests of :func:`found_in`: base rules by themselves, and the spans of all rules."""
+    none = F.array().cast(FINDINGS)
+    base = F.coalesce(F.try_element_at("found", F.lit(BASE.version)), none)
+    every = F.coalesce(F.array_sort(F.flatten(F.map_values("found"))), none)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long")
+    return found.select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
         count("hex").alias("n_hex"),
-        F.sha2(joined, 256).alias("base_sha256"),
-        joined.alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(every).alias("spans"),
     )
 
 
-def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every finding replaced; overlapping findings become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, f: Column) -> Column:
-        fresh = f["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, f["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], f["stop"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
+def _between(chunks: Column, start: Column, stop: Column) -> Column:
+    """Code points [start, stop) of a text in chunks: no chunk is walked for another's sake."""
+    a, b = F.floor(start / _CHUNK).cast("int"), F.floor(stop / _CHUNK).cast("int")
+    chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    inside = F.substring(chunk(a), start % _CHUNK + 1, stop - start)
+    across = F.concat(F.substring(chunk(a), start % _CHUNK + 1, F.lit(_CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(chunk(b), F.lit(1), stop % _CHUNK))
+    return F.when(a == b, inside).otherwise(across)
 
-    done = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
 
+def redact(docs: DataFrame, mark: str = "[SECRET]", rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars) with every finding replaced in the text, and n_chars
+    to match; overlapping findings become one mark.
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` (doc_id, text, n_chars) with every finding replaced in the text, and n_chars to match."""
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    found, _ = scan(docs)
-    hits = found.where(F.size("found") > 0).groupBy(F.col("blob").alias("_hit")).agg(F.first("found").alias("_found"))
-    joined = docs.withColumn("_blob", blob).join(hits, F.col("_blob") == F.col("_hit"), "left")
-    text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"), mark)).otherwise(F.col("text"))
-    changed = joined.withColumn("text", text)
+    Texts without a match of any pattern stay where they are; the others move.
+    """
+    text = F.col("text").cast("string")
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), suspect(text, rule_sets).alias("_suspect"))
+    clean = from_row(wide.where(~F.coalesce("_suspect", F.lit(False))), docs.columns)
+    dirty = cut(wide.where("_suspect").select("row", _blob(field("text").cast("string")).alias("blob")), "suspects")
+    found = scan(dirty.select("blob", field("text").cast("string").alias("text")), None, rule_sets)
+    spans = found.select("blob", F.explode("found").alias("f"))
+    before = Window.partitionBy("blob").orderBy("f.start", "f.rank", "f.stop").rowsBetween(Window.unboundedPreceding, -1)
+    apart = spans.withColumn("at", F.coalesce(F.max("f.stop").over(before), F.lit(0)))
+    gap = F.when(F.col("f.start") >= F.col("at"), F.struct("at", F.col("f.start").alias("start")))
+    gaps = apart.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("f.stop").alias("last"))
+    told = _joined(dirty, gaps, dirty.count()).withColumn("chunks", F.when(F.col("last").isNotNull(), F.regexp_extract_all(field("text"), F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    pieces = F.transform("gaps", lambda g: F.concat(_between(F.col("chunks"), g["at"], g["start"]), F.lit(mark)))
+    rest = _between(F.col("chunks"), F.col("last"), F.length(field("text")))
+    told = told.withColumn("new", F.concat(F.array_join(pieces, ""), rest))
+    changed = F.col("new").isNotNull()
+    instead = {"text": F.coalesce("new", field("text"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        instead["n_chars"] = F.when(changed, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return clean.unionByName(from_row(told, docs.columns, **instead))
