@@ -248,6 +248,57 @@ def test_near_groups_of_many_copies(spark):
     assert {got[i] for i, _ in rows if i < 500} == {0} and got[500] == 500
 
 
+def test_groups_meet_only_across_components(spark, monkeypatch):
+    """Many groups in one bucket, with blocks of a few nodes and every join by shuffle."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "hot_rows", lambda rows: 5)
+    rng = random.Random(5)
+    rows, i = [], 0
+    for g in range(6):
+        base = [f"g{g}w{j}" for j in range(120)]
+        for _ in range(12):
+            w = list(base)
+            for j in rng.sample(range(120), rng.randrange(0, 5)):
+                w[j] = f"x{i}"
+            rows.append((i, " ".join(w)))
+            i += 1
+    rows += [(1000 + k, rows[0][1]) for k in range(40)] + [(2000 + k, None) for k in range(10)] + [(None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for n, t in rows:
+        w = (t or "").split()
+        sets[n] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {n: n for n in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in sets:
+        for b in sets:
+            if a is not None and b is not None and a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {n: find(n) for n in sets}
+    assert sorted((r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()), key=str) == sorted({find(n) for n in sets}, key=str)
+
+
+def test_of_equal_ids_each_text_is_judged_by_itself(spark):
+    long = lambda p: " ".join(f"{p}{j}" for j in range(50))
+    rows = [(3, long("a")), (5, long("a")), (5, long("b")), (7, long("b")), (9, long("c")), (9, long("c")), (9, long("c") + " z"), (None, long("a")), (None, long("a")), (4, None), (4, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_id", "_first", "_kept", "id", "hash", "row", "_hash", "solid", "stays", "n", "component"):
+        docs = docs.withColumn(c, F.lit("own"))
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect())
+    assert got == Counter({(3, "a"): 1, (5, "b"): 1, (9, "c"): 1, (None, "a"): 2, (4, ""): 2, (4, " "): 1})
+    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_language(spark):
     got = QUERIES["op3_langid"](spark, SF).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}

@@ -8,7 +8,9 @@ Tensoring makes two collections of m keys, r minhashes each, and forms the keys
 m * m tables by combining every key of the first with every key of the second: 2rm
 minhashes stand for L = m * m tables.  Here r = 3 and m = 20, so 120 minhashes
 make 400 tables with keys of 6; a pair at similarity 0.75 misses all of them with
-a chance of 4 in 100 000, at 0.8 of 1 in 1 000 000.
+a chance of 4 in 100 000, at 0.8 of 1 in 1 000 000.  Pairs in a table whose sketches
+agree in less than ``LEAST_ESTIMATE`` are let go, which a pair at 0.75 meets with a chance
+of 1 in 10 000 000, so 4 in 100 000 is the whole chance of a miss.
 
 The 20 tables that share a first key lie in one bucket, so that only first keys
 are shuffled; the second keys open the tables inside a task.
@@ -18,8 +20,9 @@ are shuffled; the second keys open the tables inside a task.
    size, and in a block each node proposes its likeliest table mate.
 3. Proposals are confirmed on the full sets, and linked nodes are joined.
 4. Buckets that still hold several components are compared block against block,
-   but for pairs that already are of one component.  Likely pairs are confirmed on
-   the spot, likeliest first, and what they link completes the groups.
+   but for pairs that already are of one component.  Sketches alone tell which nodes
+   have a likely partner there; only those are sent their full sets, and their pairs
+   are confirmed on the spot, likeliest first.  What they link completes the groups.
 
 Copies are never expanded into pairs, no bucket is capped, and no bucket has to
 fit into one task.
@@ -37,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import Scratch, cut
+from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows
 from topiloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -49,9 +52,11 @@ PERCENT = 75
 KEYS = 20
 ROWS = 3
 BLOCK = 256
-#: Pairs whose sketches agree in less than this share of minhashes are let go: a
-#: pair at the threshold does so with a chance under 1 in 10 000.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose sketches agree in less than this share of minhashes are let go.
+LEAST_ESTIMATE = 0.52
+#: A table of at most so many ids (some 40 MB) is broadcast to the texts; beyond it, texts
+#: are shuffled by id.
+BROADCAST_IDS = 1 << 19
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -84,8 +89,9 @@ def _set_id(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sid, keys, low): ``sid`` names the set, ``keys`` are the
-    first keys, ``low`` has a byte of every minhash, those of the second keys last."""
+    """(doc_id, hash, n_shingles, sid, keys, low): ``hash`` is that of the text, ``sid`` names
+    the set, ``keys`` are the first keys, ``low`` has a byte of every minhash, those of the
+    second keys last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(2 * KEYS * ROWS)
@@ -106,10 +112,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sid.append(_set_id(found))
                 keys.append(key.view(np.int64))
                 low.append(least.astype(np.uint8).tobytes())
-            arrays = [batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "sid", "keys", "low"])
+            arrays = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "hash", "n_shingles", "sid", "keys", "low"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, sid binary, keys array<long>, low binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, hash long, n_shingles long, sid binary, keys array<long>, low binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -190,33 +197,29 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([sid[i] for i in u], pa.binary()), pa.array([sid[i] for i in v], pa.binary()), pa.array(estimate, pa.float32())], names=["u", "v", "estimate"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components; columns: key, left block, right block, side, sid, comp, low, keys, full.
+MEETING = "key long, left int, right int, side int, sid binary, comp binary, low binary, keys array<long>, size long"
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pair of blocks: the rows (columns of ``MEETING``), where its own begin and end,
+    and its likely pairs: share, one row, the other, and the components of all rows.
 
     ``side`` is 0 for rows of the left block, 1 for rows of the right one, 0 for
-    both where they are the same.  Likely pairs are confirmed, likeliest first; what
-    has been linked here is one component from then on, so that a dense group yields
-    a tree of links.  A pair is looked at in the first bucket that it shares.
+    both where they are the same.  A pair is looked at in the first bucket that it shares.
     """
     for rows in _runs(batches, 3):
         starts = np.concatenate([[0], _changes(rows, 3), [rows.num_rows]])
-        key, side = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+        key, side, size = rows.column(0).to_numpy(), rows.column(3).to_numpy(), rows.column(8).to_numpy()
         left, right = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        sid, comp = rows.column(4).to_pylist(), rows.column(5).to_pylist()
         low = _matrix(rows.column(6))
         keys = np.stack(rows.column(7).to_pylist()).astype(np.int64)
-        full = rows.column(8).combine_chunks()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in full]
-        size = np.array([len(x) for x in sets])
-        names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        comp = np.array([names[c] for c in comp])
-        u, v = [], []
-        for k in range(len(starts) - 1):
-            a, b = int(starts[k]), int(starts[k + 1])
+        names: dict[bytes, int] = {}
+        comp = np.array([names.setdefault(c, len(names)) for c in rows.column(5).to_pylist()])
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             own = left[a] == right[a]
             one = np.arange(a, b) if own else a + np.flatnonzero(side[a:b] == 0)
             two = one if own else a + np.flatnonzero(side[a:b] == 1)
-            likely: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            likely = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for i in range(0, len(one), 64):
                 x = one[i : i + 64]
                 share, second = _share(low[x, None, :], low[None, two, :])
@@ -229,20 +232,40 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = keys[p] == keys[q]
                 here = keys[p, both.argmax(axis=1)] == key[a] if len(p) else np.zeros(0, bool)
                 likely.append((share[here], p[here], q[here]))
-            joined: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while c in joined:
-                    c = joined[c]
-                return c
-
-            share, p, q = (np.concatenate(c) for c in zip(*likely))
-            for j in np.argsort(-share, kind="stable").tolist():
-                c, d = root(int(comp[p[j]])), root(int(comp[q[j]]))
-                if c != d and _linked(sets[p[j]], sets[q[j]]):
-                    joined[max(c, d)] = min(c, d)
-                    u.append(sid[p[j]])
-                    v.append(sid[q[j]])
+            yield rows, a, b, *(np.concatenate(c) for c in zip(*likely)), comp
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each meeting that have a likely partner in it."""
+    for rows, a, b, _, p, q, _ in _meetings(batches):
+        if len(p):
+            yield from rows.take(np.unique(np.concatenate([p, q]))).combine_chunks().to_batches()
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components; columns: those of ``MEETING``, full.
+
+    Likely pairs are confirmed, likeliest first; what has been linked here is one
+    component from then on, so that a dense group yields a tree of links.
+    """
+    for rows, a, b, share, p, q, comp in _meetings(batches):
+        part = rows.slice(a, b - a)
+        sid, full = part.column(4).to_pylist(), part.column(9).combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in full]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:  # noqa: B023
+                c = joined[c]  # noqa: B023
+            return c
+
+        u, v = [], []
+        for j in np.argsort(-share, kind="stable").tolist():
+            c, d = root(int(comp[p[j]])), root(int(comp[q[j]]))
+            if c != d and _linked(sets[p[j] - a], sets[q[j] - a]):
+                joined[max(c, d)] = min(c, d)
+                u.append(sid[p[j] - a])
+                v.append(sid[q[j] - a])
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
@@ -256,9 +279,10 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, full) of the ``wanted`` nodes (sid, doc_id), from their documents' whole texts."""
+    """(sid, full) of the ``wanted`` nodes (sid, doc_id; a stored table), from their documents' whole texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = wanted.select("sid", F.col("doc_id").alias("_doc")).hint("shuffle_hash")
+    named = wanted.select("sid", F.col("doc_id").alias("_doc"))
+    named = F.broadcast(named) if wanted.count() <= BROADCAST_IDS else named.hint("shuffle_hash")
     found = texts.join(named, texts["doc_id"].eqNullSafe(F.col("_doc"))).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,23 +315,32 @@ def _confirm(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    return _groups(docs).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, n_shingles, root, component): a stored table with a row for every row of
+    ``docs``; ``root`` names the group, and is null where there are no shingles."""
     scratch = Scratch(docs.sparkSession)
     sketch = scratch.cut(sketches(docs), "sketch")
-    nodes = scratch.cut(sketch.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low")), "nodes", release=True)
+    of_set = sketch.where("sid IS NOT NULL").groupBy("sid")
+    nodes = scratch.cut(of_set.agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")), "nodes", release=True)
 
     entries = nodes.select("sid", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = entries.join(shared, F.col("key") == F.col("_key")).select("sid", "key", "blocks")
     members = scratch.cut(members.join(nodes.select("sid", "low"), "sid"), "members", release=True)
-    wanted = members.select("sid").distinct().join(nodes.select("sid", "doc_id"), "sid")
+    wanted = scratch.cut(members.select("sid").distinct().join(nodes.select("sid", "doc_id"), "sid"), "wanted")
     full = scratch.cut(_full_sets(docs, wanted), "sets", release=True)
 
     links = scratch.cut(_confirm(_proposals(members), full), "links", release=True)
     groups = components(links)
-    more = scratch.cut(_open_links(members, nodes, full, groups), "links", release=True)
+    likely = scratch.cut(_open_pairs(members, nodes, groups), "likely", release=True)
+    more = scratch.cut(_open_links(likely, full), "links", release=True)
     if more.take(1):
         groups = components(links.unionByName(more))
-    out = cut(_labelled(sketch, nodes, groups), "groups")
+    label = scratch.cut(_labels(nodes, groups), "labels")
+    out = cut(_labelled(sketch, nodes, label), "groups")
     scratch.drop()
     return out
 
@@ -320,8 +353,8 @@ def _proposals(members: DataFrame) -> DataFrame:
     return best.select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
 
 
-def _open_links(members: DataFrame, nodes: DataFrame, full: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes that share a table but not yet a component.
+def _open_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``MEETING``: nodes that meet a likely partner of another component in a bucket.
 
     In each bucket the most frequent component is set apart in blocks of its own,
     which are not compared with each other.
@@ -340,29 +373,64 @@ def _open_links(members: DataFrame, nodes: DataFrame, full: DataFrame, groups: D
     partners = F.when(is_main, F.sequence(F.lit(0), F.col("_others") - 1)).otherwise(everywhere)
     dealt = dealt.withColumn("c", F.explode(partners))
     dealt = dealt.select("key", F.least("b", "c").alias("left"), F.greatest("b", "c").alias("right"), F.when(F.col("b") <= F.col("c"), 0).otherwise(1).alias("side"), "sid", "comp", "low")
-    dealt = dealt.join(nodes.select("sid", "keys"), "sid").join(full, "sid").select("key", "left", "right", "side", "sid", "comp", "low", "keys", "full")
+    dealt = dealt.join(nodes.select("sid", "keys", "size"), "sid").select("key", "left", "right", "side", "sid", "comp", "low", "keys", "size")
+    return dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_partnered, MEETING)
+
+
+def _open_links(likely: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (u, v) among the nodes of :func:`_open_pairs`, confirmed on their full sets."""
+    dealt = likely.join(full, "sid").select(*likely.columns, "full")
     return dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_cross, "u binary, v binary")
 
 
-def _labelled(sketch: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every row of ``sketch`` with the least id of its group."""
-    owned = groups.join(nodes.select("sid", "doc_id"), groups["node"] == nodes["sid"]).select("node", "root", "doc_id")
-    least = owned.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("least"))
-    grouped = owned.join(least, F.col("root") == F.col("_root")).select("node", "least")
-    label = nodes.select("sid", "doc_id").join(grouped, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("_sid"), F.coalesce("least", "doc_id").alias("_label"))
-    component = F.coalesce("_label", "doc_id")
-    return sketch.join(label, F.col("sid") == F.col("_sid"), "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+def _labels(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sid, root, label) of every node; ``label`` is the least id of its group."""
+    named = nodes.join(groups, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
+    least = named.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("label"))
+    hot = least.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(nodes.count())), F.col("_root") == F.col("root"), "left_semi")
+    return _by_key(named, "root", least.withColumnRenamed("_root", "_key"), hot.withColumnRenamed("_root", "_key")).select("sid", "root", "label")
+
+
+def _by_key(rows: DataFrame, key: str, values: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the ``values`` (_key, ...) of their key; those of ``hot`` keys, a part of
+    ``values`` that :func:`hot_rows` bounds, are broadcast, so that no task gets all rows of a key."""
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    rest = found.where("_key IS NULL").select(*rows.columns).join(values, F.col(key) == F.col("_key"))
+    return found.where("_key IS NOT NULL").unionByName(rest).drop("_key")
+
+
+def _labelled(sketch: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Every row of ``sketch`` with its group and the least id in it."""
+    rows = sketch.select("doc_id", "hash", "n_shingles", "sid")
+    values = label.select(F.col("sid").alias("_key"), "root", "label")
+    many = nodes.where(F.col("n") > hot_rows(rows.count())).select(F.col("sid").alias("_hot"))
+    hot = values.join(many, F.col("_key") == F.col("_hot"), "left_semi")
+    told = _by_key(rows.where("sid IS NOT NULL"), "sid", values, hot)
+    alone = rows.where("sid IS NULL").withColumns({"root": F.lit(None).cast("binary"), "label": F.col("doc_id")})
+    return told.unionByName(alone).select("doc_id", "hash", "n_shingles", "root", F.coalesce("label", "doc_id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.
+    """``docs`` with one row of each group: that with the least id, among equal ids that with
+    the least hash of its text.  Rows without an id and texts without a word all stay.
 
-    Of rows with equal ids the first by a hash of the text stays; rows without an id stay.
+    Where few rows go, their ids and hashes are broadcast and no text moves; beyond that,
+    texts are shuffled once by id.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    # the window asks for the same partitioning as the join, so texts move once
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    joined = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    stay = joined.withColumn("_first", first).where("_first = 1").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id IS NULL"))
+    grouped = _groups(docs).where("doc_id IS NOT NULL AND root IS NOT NULL")
+    first = F.min(F.struct("doc_id", "hash"))
+    stay = grouped.groupBy("root").agg(first.alias("s")).select("s.*").distinct()
+    pairs = grouped.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = cut(pairs.join(stay.withColumn("stays", F.lit(True)), ["doc_id", "hash"], "left").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("stays").isNotNull().alias("stays"), "n"), "judged")
+    text = field("text").cast("string")
+    rows = as_row(docs).select("row", field("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("solid"))
+    on = (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash")) & F.col("solid")
+    # of a row that is there several times, with all its texts, one is picked below
+    gone = judged.where("NOT stays OR n > 1")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    kept = rows.join(gone, on, "left_anti").select("row")
+    repeated = judged.where("stays AND n > 1")
+    if repeated.take(1):
+        same = rows.join(repeated, on).groupBy("_id", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.unionByName(same.select("row"))
+    return from_row(kept, docs.columns)
