@@ -527,6 +527,25 @@ def test_packed_pieces_are_whole(spark, odd):
         assert all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
+def test_packing_comes_near_the_bound(spark):
+    lengths = [(i, 0, 0, 50 + (i * 7919) % 1500 if i % 9 else 2048, i * 31 % 1009) for i in range(6000)] + [(-1, 0, 0, 300, 5)] * 2000
+    made = packing.cut(spark.createDataFrame(lengths, packing.PIECES), "pieces")
+    rows = packing.pack(made, group_pieces=2000)
+    found = rows.collect()
+    assert Counter(tuple(r[:5]) for r in found) == Counter(lengths)
+    fill, offsets = Counter(), defaultdict(list)
+    for r in found:
+        fill[r["sequence_id"]] += r["length"]
+        offsets[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert max(fill.values()) <= 2048
+    assert all(o == sum(n for _, n in sorted(own)[:k]) for own in offsets.values() for k, (o, _) in enumerate(sorted(own)))
+    least = -(-sum(n for *_, n, _ in lengths) // 2048)
+    assert len(fill) <= 1.002 * least + 1
+    # the packing does not depend on how the rows are stored
+    other = packing.pack(packing.cut(made.repartition(7, "length"), "pieces"), group_pieces=2000)
+    assert Counter(map(tuple, other.collect())) == Counter(map(tuple, found))
+
+
 def brute_secrets(text):
     spans = []
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
