@@ -11,11 +11,12 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
-from topiloom.llm import chat, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
+from topiloom.llm import chat, covertree, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
 from topiloom.llm.components import components
 from topiloom.llm.oracle import ORACLES
 from topiloom.llm.queries import QUERIES, default_tokenizer
@@ -299,6 +300,46 @@ def test_of_equal_ids_each_text_is_judged_by_itself(spark):
     assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_far_blocks_do_not_meet(spark, monkeypatch):
+    """Clusters of one label: blocks of far regions are never paired, links stay exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 12))
+    x = np.concatenate([c / np.linalg.norm(c) + rng.normal(size=(150, 12)) * 0.03 for c in centres])
+    x[-40:] = x[0]  # many copies of one vector
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), 1) for i, v in enumerate(x[:30])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(covertree, "hot_rows", lambda n: 20)
+    norm = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = norm @ norm.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(vectors, block=50).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
+    small = linked[:30, :30]
+    assert [got[1000 + i]["n_links"] for i in range(30)] == small.sum(axis=1).tolist()
+    for i, j in zip(*np.nonzero(linked)):
+        assert got[i]["component_id"] == got[j]["component_id"]
+    assert len({got[i]["component_id"] for i in range(len(x))}) == _groups_of(linked)
+    nodes = vectors.where("label = 0").dropDuplicates(["embedding"]).select(F.col("vec_id").cast("string").alias("node"), "label", F.col("embedding").alias("vector"), F.lit(1).alias("weight"), F.size("embedding").alias("dim"))
+    dealt = covertree._dealt(nodes, 0.98, 50).select("b", "partners").distinct().collect()
+    assert len(dealt) >= 15
+    met = {(r["b"], c) for r in dealt for p in r["partners"] for c in range(p["first"], p["first"] + p["blocks"])}
+    assert all((c, b) in met for b, c in met) and len(met) <= 0.4 * len(dealt) ** 2
+
+
+def _groups_of(linked):
+    root = list(range(len(linked)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return len({find(i) for i in range(len(linked))})
+
+
 def test_language(spark):
     got = QUERIES["op3_langid"](spark, SF).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}

@@ -153,3 +153,11 @@ def hot_rows(rows: int) -> int:
     """The number of rows beyond which a key counts as hot.  At most ``HOT_KEYS`` keys can
     have more, so a table of hot keys is small enough to broadcast, however large the input."""
     return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def with_value(rows: DataFrame, key: str, values: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the ``values`` (_key, ...) of their key, inner.  Those of ``hot`` keys, a part
+    of ``values`` that :func:`hot_rows` bounds, are broadcast, so that no task gets all rows of a key."""
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    rest = found.where("_key IS NULL").select(*rows.columns).join(values, F.col(key) == F.col("_key"))
+    return found.where("_key IS NOT NULL").unionByName(rest).drop("_key")

@@ -3,8 +3,13 @@
 Vectors with one label are linked when their cosine reaches a threshold; on the unit
 sphere that is a Euclidean distance of at most sqrt(2 - 2 * threshold).
 
-The vectors of a label are dealt into blocks of bounded size.  Each block becomes a
-cover tree: nested levels of centres whose radii halve, where every node also knows
+The vectors of a label are dealt into blocks of bounded size, region by region: the upper
+levels of a cover tree over a bounded sample give centres, every vector goes to its nearest
+one, and a region's covering radius is the distance of its farthest vector.  Regions that
+lie too far apart for any link never meet, so their blocks are not even sent to each other.
+(Vectors in random directions have no regions; then all blocks of a label meet.)
+
+Each block becomes a cover tree: nested levels of centres whose radii halve, where every node also knows
 its covering radius, the distance to its farthest descendant.  Two trees are
 traversed together.  A pair of nodes is dropped when even their nearest descendants
 must lie too far apart, and taken whole when even their farthest must be linked; what
@@ -27,10 +32,11 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from topiloom.llm.common import cut
+from topiloom.llm.common import HOT_KEYS, cut, hot_rows, with_value
 from topiloom.llm.components import components
 
 THRESHOLD = 0.98
@@ -247,11 +253,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = rows.select("vec_id", "label", "vector", named.alias("node"))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
     nodes = cut(nodes.withColumn("dim", F.size("vector")), "nodes")
-    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = nodes.join(sizes.select(F.col("label").alias("_label"), F.col("dim").alias("_dim"), "blocks"), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # every pair of blocks of a label meets once; a block is sent once for each of them
-    met = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _dealt(nodes, threshold, block)
+    # every pair of near blocks of a label meets once; a block is sent once for each of them
+    met = dealt.withColumn("c", F.explode(F.flatten(F.transform("partners", lambda p: F.sequence(p["first"], p["first"] + p["blocks"] - 1)))))
     met = met.select("label", "dim", F.least("b", "c").alias("left"), F.greatest("b", "c").alias("right"), (F.col("b") > F.col("c")).alias("second"), "node", "weight", "vector")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -262,13 +266,110 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.where("mate IS NOT NULL").select(F.col("node").alias("u"), F.col("mate").alias("v")))
     owned = groups.join(nodes.select(F.col("node").alias("_node"), "vec_id"), F.col("node") == F.col("_node")).select("node", "root", "vec_id")
-    least = owned.groupBy(F.col("root").alias("_root")).agg(F.min("vec_id").alias("least"))
-    grouped = owned.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_g"), "least")
+    least = owned.groupBy(F.col("root").alias("_key")).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("_n"))
+    n = rows.count()
+    grouped = with_value(owned.select("node", "root"), "root", least.drop("_n"), least.where(F.col("_n") > hot_rows(n)).drop("_n")).select(F.col("node").alias("_g"), "least")
     told = nodes.join(grouped, F.col("node") == F.col("_g"), "left").join(counts.select(F.col("node").alias("_c"), "n"), F.col("node") == F.col("_c"), "left")
-    told = told.select(F.col("node").alias("_node"), F.coalesce("least", "vec_id").alias("_component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("_links"))
-    out = rows.select("vec_id", "node").join(told, F.col("node") == F.col("_node"), "left")
-    component = F.coalesce("_component", "vec_id")
-    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    told = cut(told.select(F.col("node").alias("_key"), F.coalesce("least", "vec_id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("links"), "weight"), "told")
+    values = told.drop("weight")
+    linked = with_value(rows.where("node IS NOT NULL").select("vec_id", "node"), "node", values, told.where(F.col("weight") > hot_rows(n)).drop("weight"))
+    alone = rows.where("node IS NULL").select("vec_id", "node", F.col("vec_id").alias("component"), F.lit(0).cast("long").alias("links"))
+    component = F.coalesce("component", "vec_id")
+    return linked.unionByName(alone).select("vec_id", F.col("links").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: Labels of more than a block that are parted into regions, the largest first; the others'
+#: blocks all meet.  Regions of a label, and what is sampled for their centres, in all.
+LARGE_LABELS, REGIONS, SAMPLE_ROWS, SAMPLE_BYTES = 32, 64, 512, 16 << 20
+
+
+def _dealt(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """label, dim, b, partners, node, weight, vector: each vector's block and the runs of
+    blocks (first, blocks) of its label that may hold a link of its."""
+    spark = nodes.sparkSession
+    sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    many = cut(sizes, "sizes")
+    whole = F.ceil(F.col("n") / block).cast("int")
+    plan = many.select(F.col("label").alias("_label"), F.col("dim").alias("_dim"), F.lit(0).alias("_region"), F.lit(0).alias("first"), whole.alias("blocks"), F.array(F.struct(F.lit(0).alias("first"), whole.alias("blocks"))).alias("partners"))
+    centres = _centres(nodes, many)
+    regions = nodes.withColumn("region", F.lit(0))
+    if centres:
+        placed = cut(_nearest(nodes, centres), "regions")
+        found = placed.groupBy("label", "dim", "region").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).where("radius IS NOT NULL").collect()
+        special = spark.createDataFrame(_partners(found, centres, threshold, block), T.StructType([T.StructField("_label", nodes.schema["label"].dataType), *T._parse_datatype_string("_dim int, _region int, first int, blocks int, partners array<struct<first:int,blocks:int>>").fields]))
+        plan = plan.join(F.broadcast(special.select("_label", "_dim").distinct()), ["_label", "_dim"], "left_anti").unionByName(special)
+        regions = placed.drop("d")
+    plan = cut(plan, "plan")
+    plan = F.broadcast(plan) if plan.count() <= HOT_KEYS else plan
+    on = (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("region") == F.col("_region"))
+    named = regions.join(plan, on, "left")
+    one = F.array(F.struct(F.lit(0).alias("first"), F.lit(1).alias("blocks")))
+    b = F.coalesce(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    return named.select("label", "dim", b.alias("b"), F.coalesce("partners", one).alias("partners"), "node", "weight", "vector")
+
+
+def _centres(nodes: DataFrame, many: DataFrame) -> dict[tuple, np.ndarray]:
+    """Unit vectors by (label, dim): a level of the cover tree over a sample of the label."""
+    large = many.orderBy(F.desc("n"), "label", "dim").limit(LARGE_LABELS).collect()
+    if not large:
+        return {}
+    named = nodes.sparkSession.createDataFrame([(r["label"], r["dim"], r["n"]) for r in large], T.StructType([T.StructField("_label", nodes.schema["label"].dataType), T.StructField("_dim", T.IntegerType()), T.StructField("_n", T.LongType())]))
+    bound = max(2, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(r["dim"] for r in large) * len(large))))
+    h = F.pmod(F.xxhash64("node", F.lit("centre")), F.lit(1 << 30))
+    rows = nodes.join(F.broadcast(named), (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")))
+    rows = rows.where(h < (1.5 * bound + 8) / F.col("_n") * (1 << 30)).select("label", "dim", "node", "vector", h.alias("h"))
+    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "node"))
+    drawn: dict[tuple, list] = {}
+    for r in rows.withColumn("rank", rank).where(F.col("rank") <= bound).orderBy("rank").collect():
+        drawn.setdefault((r["label"], r["dim"]), []).append(r["vector"])
+    out = {}
+    for key, vectors in drawn.items():
+        x = np.array(vectors, dtype=np.float64)
+        tree = build(x / np.linalg.norm(x, axis=1, keepdims=True))
+        out[key] = tree.points[max((ids for ids in tree.ids if len(ids) <= REGIONS), key=len)]
+    return {key: c for key, c in out.items() if len(c) > 1}
+
+
+def _nearest(nodes: DataFrame, centres: dict[tuple, np.ndarray]) -> DataFrame:
+    """``nodes`` with the region of each vector and its distance ``d`` to the centre; 0 and
+    null for labels without regions."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+    columns = nodes.columns
+
+    def run(batches):
+        for batch in batches:
+            labels, dims = batch.column(columns.index("label")).to_pylist(), batch.column(columns.index("dim")).to_pylist()
+            by: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(labels, dims)):
+                if key in shared.value:
+                    by.setdefault(key, []).append(i)
+            region, d = np.zeros(batch.num_rows, dtype=np.int32), np.full(batch.num_rows, np.nan)
+            for key, own in by.items():
+                x = _vectors(batch.column(columns.index("vector")).take(pa.array(own)))
+                apart = _distances(x / np.linalg.norm(x, axis=1, keepdims=True), shared.value[key])
+                region[own] = apart.argmin(axis=1)
+                d[own] = apart.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(d, from_pandas=True)], names=[*columns, "region", "d"])
+
+    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("region", T.IntegerType()), T.StructField("d", T.DoubleType())]))
+
+
+def _partners(found: list, centres: dict[tuple, np.ndarray], threshold: float, block: int) -> list[tuple]:
+    """(label, dim, region, first, blocks, partners) of every region that has vectors."""
+    limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+    by: dict[tuple, list] = {}
+    for r in sorted(found, key=lambda r: r["region"]):
+        by.setdefault((r["label"], r["dim"]), []).append(r)
+    out = []
+    for key, own in by.items():
+        blocks = np.array([-(-r["n"] // block) for r in own])
+        first = np.cumsum(blocks) - blocks
+        radius = np.array([r["radius"] for r in own])
+        at = centres[key][[r["region"] for r in own]]
+        near = _distances(at, at) - radius[:, None] - radius[None, :] <= limit + MARGIN
+        for i, r in enumerate(own):
+            out.append((*key, r["region"], int(first[i]), int(blocks[i]), [(int(first[j]), int(blocks[j])) for j in np.flatnonzero(near[i] | (np.arange(len(own)) == i))]))
+    return out
 
 
 def _meet(rows: pa.Table, threshold: float) -> pa.Table:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows
+from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows, with_value
 from topiloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -388,15 +388,7 @@ def _labels(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     named = nodes.join(groups, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("label"))
     hot = least.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(nodes.count())), F.col("_root") == F.col("root"), "left_semi")
-    return _by_key(named, "root", least.withColumnRenamed("_root", "_key"), hot.withColumnRenamed("_root", "_key")).select("sid", "root", "label")
-
-
-def _by_key(rows: DataFrame, key: str, values: DataFrame, hot: DataFrame) -> DataFrame:
-    """``rows`` with the ``values`` (_key, ...) of their key; those of ``hot`` keys, a part of
-    ``values`` that :func:`hot_rows` bounds, are broadcast, so that no task gets all rows of a key."""
-    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
-    rest = found.where("_key IS NULL").select(*rows.columns).join(values, F.col(key) == F.col("_key"))
-    return found.where("_key IS NOT NULL").unionByName(rest).drop("_key")
+    return with_value(named, "root", least.withColumnRenamed("_root", "_key"), hot.withColumnRenamed("_root", "_key")).select("sid", "root", "label")
 
 
 def _labelled(sketch: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
@@ -405,7 +397,7 @@ def _labelled(sketch: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFram
     values = label.select(F.col("sid").alias("_key"), "root", "label")
     many = nodes.where(F.col("n") > hot_rows(rows.count())).select(F.col("sid").alias("_hot"))
     hot = values.join(many, F.col("_key") == F.col("_hot"), "left_semi")
-    told = _by_key(rows.where("sid IS NOT NULL"), "sid", values, hot)
+    told = with_value(rows.where("sid IS NOT NULL"), "sid", values, hot)
     alone = rows.where("sid IS NULL").withColumns({"root": F.lit(None).cast("binary"), "label": F.col("doc_id")})
     return told.unionByName(alone).select("doc_id", "hash", "n_shingles", "root", F.coalesce("label", "doc_id").alias("component"))
 
