@@ -299,3 +299,116 @@ def test_stream_assignment(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["doc_id"]: r["topic_id"] for r in spark.table("assigned").collect()} == {0: 0, 1: 1}
+
+
+def test_an_unfinished_run_exports_what_it_returned(spark, tmp_path):
+    """The loop runs out of rounds: its last children are graded, saved and exported alike."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "alpha beta gamma " * (1 + i % 3), (np.eye(6)[i % 6] + rng.normal(size=6) * 0.05).tolist(), 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>, topic_id int").persist()
+    store = f"file://{tmp_path}/state"
+    tables = run.run_catalog(spark, docs, store, CatalogConfig(max_rounds=1, auto_accept_depth=9))
+    assert tables["nodes"].where("status = 'pending'").count() == 0 and tables["nodes"].count() > 1
+    again = run.run_catalog(spark, docs, store, from_stage="EXPORT")
+    assert sorted(map(str, again["nodes"].collect())) == sorted(map(str, tables["nodes"].collect()))
+    left = {r["doc_id"] for r in tables["dropped"].collect()}
+    leaves = {r["doc_id"] for r in tables["membership"].where("node_id like 'v1%'").collect()}
+    assert not left & leaves
+
+
+def test_judge_is_asked_once_for_each_prompt(spark, tmp_path):
+    asked = []
+
+    def judge(nodes):
+        rows = nodes.collect()
+        asked.extend(r["id"] for r in rows)
+        told = [(r["id"], "name", "A", "keep", r["keywords"] == "bad" and len(asked) < 5) for r in rows]
+        return spark.createDataFrame(told, "id string, name string, grade string, action string, failed boolean")
+
+    nodes = spark.createDataFrame([("a", 10, "x"), ("b", 10, "x"), ("c", 20, "y"), ("d", 5, "bad")], "id string, size long, keywords string")
+    cached = catalog.cached_judge(judge, f"file://{tmp_path}/replies")
+    first = {r["id"]: r["failed"] for r in cached(nodes).collect()}
+    assert first == {"a": False, "b": False, "c": False, "d": True} and sorted(asked) == ["a", "c", "d"]
+    asked += ["", ""]
+    second = {r["id"]: r["failed"] for r in cached(nodes).collect()}
+    assert second == dict.fromkeys("abcd", False) and asked[5:] == ["d"]
+    cache = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "node_id string, failed boolean")
+    assert sorted(r[0] for r in catalog.without_failed(cache).select("node_id").collect()) == ["b"]
+    assert sorted(r[0] for r in catalog.without_failed(cache, spark.createDataFrame([("a",)], "node_id string")).select("node_id").collect()) == ["b", "c"]
+    assert len({r[0] for r in nodes.select(catalog.prompt_key(F.col("keywords"))).collect()}) == 3
+
+
+def test_silhouette_of_given_distances(spark):
+    rows = [(0, 0, [0.0]), (1, 0, [0.3]), (2, 1, [0.9]), (3, 1, [0.7]), (4, 2, [0.5])]
+    d = spark.createDataFrame(rows, "doc_id long, topic_id int, embedding array<double>")
+    pairs = spark.createDataFrame([(a[0], b[0], abs(a[2][0] - b[2][0])) for a in rows for b in rows if a[0] < b[0]], "a long, b long, distance double")
+    labels = d.select(F.col("doc_id").alias("id"), "topic_id")
+    assert metrics.silhouette_precomputed(pairs, labels).first()[0] == pytest.approx(metrics.silhouette_euclidean(d).first()[0])
+    # an id that stands for three equal rows
+    copies = d.unionByName(spark.createDataFrame([(10, 0, [0.0]), (11, 0, [0.0])], d.schema))
+    weighted = labels.withColumn("n", F.when(F.col("id") == 0, 3).otherwise(1))
+    assert metrics.silhouette_precomputed(pairs, weighted).first()[0] == pytest.approx(metrics.silhouette_euclidean(copies).first()[0])
+    assert metrics.silhouette_sampled(d, 5).first()[0] == pytest.approx(metrics.silhouette_euclidean(d).first()[0])
+
+
+def test_consensus_scan(spark):
+    rows = [(i, i % 3, i % 3, (i + (i % 10 == 0)) % 3) for i in range(60)]
+    labels = spark.createDataFrame(rows, "doc_id long, l1 int, l2 int, l3 int")
+    found = {r["n_clusters"]: r for r in consensus.consensus_scan(labels, ["l1", "l2", "l3"], (2, 3)).collect()}
+    assert found[3]["silhouette"] > found[2]["silhouette"] and found[3]["median_size"] == 20
+    assert topics.choose_consensus(consensus.consensus_scan(labels, ["l1", "l2", "l3"], (2, 3))).first()["n_clusters"] == 3
+
+
+def test_large_parts_are_parted_further(spark, monkeypatch):
+    monkeypatch.setattr(models, "PART_ROWS", 30)
+    rng = np.random.default_rng(0)
+    x = np.repeat([[0.0, 0], [0, 50], [900, 0]], 40, axis=0) + rng.normal(size=(120, 2)) * 0.1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    pieces = models._bounded_parts(rows, models.kmeans(rows, 2), 42)
+    assert sorted(r[0] for r in pieces.select("doc_id").collect()) == list(range(120))
+    assert max(r["count"] for r in pieces.groupBy("l1_topic", "piece").count().collect()) <= 45
+    by = {r["doc_id"]: (r["l1_topic"], r["l2_topic"]) for r in models.two_level(rows, 2).collect()}
+    assert sorted(by) == list(range(120)) and by[0][0] == by[40][0] != by[80][0]
+
+
+def test_graph_beyond_the_kernel(spark, monkeypatch):
+    src, dst, w = cliques()
+    edges = spark.createDataFrame(list(zip(src.tolist(), dst.tolist(), w.tolist())), "src long, dst long, weight double")
+    nodes = spark.range(10).select(F.col("id").alias("doc_id"))
+    scan = {r["resolution"]: r for r in graph.resolution_scan(edges, nodes, (0.0, 1.0)).collect()}
+    assert scan[1.0]["n_topics"] == 2 and scan[0.0]["n_topics"] == 1 and scan[1.0]["modularity"] > 0.4
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 3)
+    found = graph.communities(edges, nodes).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(10)) and {r["community"] for r in found} <= set(range(10))
+
+
+def test_composite(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"w{i % 3} z{i % 3} common", (np.eye(8)[i % 3] * 9 + rng.normal(size=8) * 0.2).tolist()) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>").withColumn("topic_id", F.lit(7))
+    moved, words = models.topic_composite(docs, 3)
+    assert sorted(r["doc_id"] for r in moved.collect()) == list(range(90))
+    assert len({r["topic_id"] for r in words.collect()}) == 3 and {r["rank"] for r in words.collect()} >= {1}
+
+
+def test_sinks_and_readers(spark, tmp_path):
+    v = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(25)], "doc_id long, embedding array<double>").repartition(3)
+    manifest = writers.npy_vectors(v, f"file://{tmp_path}/npy").collect()
+    assert sum(r["rows"] for r in manifest) == 25
+    for r in manifest:
+        path = r["path"].removeprefix("file://")
+        ids, x = np.load(path.replace(".npy", ".ids.npy")), np.load(path)
+        assert (x[:, 0] == ids).all() and ids[0] == r["first_id"]
+    report = spark.createDataFrame([("é", 1)], "name string, n int")
+    writers.csv_report(report, str(tmp_path / "r.csv"), bom=True)
+    assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    writers.csv_table(report, str(tmp_path / "table"))
+    assert readers.csv(spark, str(tmp_path / "table"), "name string, n int").collect() == report.collect()
+    assert writers.markdown_report("T", report).splitlines() == ["# T", "", "| name | n |", "|---|---|", "| é | 1 |"]
+    writers.json_report(report, str(tmp_path / "s.json"))
+    assert readers.json_state(spark, str(tmp_path / "s.json"), "name string, n int").first()["name"] == "é"
+    (tmp_path / "i.png").write_bytes(b"abc")
+    assert readers.images(spark, str(tmp_path / "i.png")).first()["base64"] == "YWJj"
+    assert topics.resolve_column(report.withColumn("headline_text", F.lit("")), ("headline", "text")) == "headline_text"
+    assert topics.resolve_column(report, ("title",)) == "name"
+    assert spark.range(1).select(tx.cleaned(F.lit("A-b c1"), blank=False)).first()[0] == "ab c"

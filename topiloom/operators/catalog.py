@@ -19,6 +19,7 @@ from topiloom.functions import text as tx
 from topiloom.operators import graph, text, topics
 from topiloom.operators import vectors as vx
 from topiloom.operators.leiden import leiden
+from topiloom.store import cut
 
 NODES = (
     "id string, parent string, depth int, size long, keywords string, mean_pairwise_dist double, rule_grade string,"
@@ -100,6 +101,37 @@ def prompt_key(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 
 
+def cached_judge(judge: Judge, store: str, prompt: Callable[[DataFrame], Column] | None = None) -> Judge:
+    """``judge`` behind a stored cache of replies: nodes whose prompt has been answered are not
+    asked again, also not by later runs; failed replies are.
+
+    ``prompt`` makes a node's prompt (default: size and keywords).  Replies are appended to
+    the folder ``store``, so what one call has paid for is there for the next.
+    """
+
+    def ask(nodes: DataFrame) -> DataFrame:
+        spark = nodes.sparkSession
+        text = prompt(nodes) if prompt else F.concat_ws("|", F.col("size").cast("string"), "keywords")
+        keyed = cut(nodes.withColumn("_key", prompt_key(text)), "asked")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        schema = "key string, name string, grade string, action string, failed boolean"
+        old = spark.read.schema(schema).parquet(store) if there else spark.createDataFrame([], schema)
+        old = old.where("NOT failed").dropDuplicates(["key"])
+        unknown = keyed.join(old.select(F.col("key").alias("_key")), "_key", "left_anti")
+        if unknown.take(1):
+            # equal prompts are asked once
+            first = unknown.groupBy("_key").agg(F.min("id").alias("id"))
+            fresh = judge(unknown.join(first, ["_key", "id"]).select(*nodes.columns)).join(first, "id")
+            fresh.select(F.col("_key").alias("key"), "name", "grade", "action", "failed").write.mode("append").parquet(store)
+        # a good reply goes before a failed one
+        known = spark.read.schema(schema).parquet(store) if there or unknown.take(1) else old
+        best = known.groupBy("key").agg(F.min_by(F.struct("name", "grade", "action", "failed"), F.struct("failed", "name")).alias("r"))
+        return keyed.join(best, F.col("_key") == F.col("key")).select("id", "r.*")
+
+    return ask
+
+
 def without_failed(cache: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """A reply cache (node_id, failed, ...) without failed entries (of ``ids``, if given)."""
     bad = cache.where("failed").select("node_id")
@@ -200,7 +232,7 @@ def split(nodes: DataFrame, membership: DataFrame, docs: DataFrame, round_: int,
     asked = nodes.where("action = 'split'").select("id")
     members = membership.join(F.broadcast(asked.withColumnRenamed("id", "node_id")), "node_id").join(docs, "doc_id")
     # the clustering is the costly part and is read several times below
-    found = sub_communities(members.select("node_id", "doc_id", "embedding"), config).persist()
+    found = cut(sub_communities(members.select("node_id", "doc_id", "embedding"), config), "subs")
     subs = members.select("node_id", "doc_id", "text").join(found, ["node_id", "doc_id"])
     counts = found.where("sub >= 0").groupBy("node_id").agg(F.countDistinct("sub").alias("parts"))
     parts = subs.join(F.broadcast(counts.where("parts > 1").select("node_id")), "node_id", "left_semi")
@@ -231,6 +263,16 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, F.col("id") == F.col("_p"), "left_anti").where("status != 'binned'")
 
 
+def of_round(nodes: DataFrame, round_: int) -> DataFrame:
+    """Nodes that a round has made, by the prefix of their id."""
+    return nodes.where(F.col("id").startswith(f"v{round_}_"))
+
+
+def with_status(nodes: DataFrame, *status: str) -> DataFrame:
+    """Nodes that are pending, accepted, split or binned."""
+    return nodes.where(F.col("status").isin(*status))
+
+
 def stop_flags(nodes: DataFrame, total: int, config: CatalogConfig = CatalogConfig()) -> DataFrame:
     """One row: the six stop conditions, their figures, and whether all hold."""
     accepted, binned, shallow = F.col("status") == "accepted", F.col("status") == "binned", F.col("depth") < 2

@@ -82,6 +82,32 @@ def silhouette_euclidean(docs: DataFrame) -> DataFrame:
     return per.select(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
+def silhouette_sampled(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """One row: the silhouette of ``n`` rows with a topic, picked by a hash of seed and id."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    return silhouette_euclidean(docs.where("topic_id != -1").orderBy(h, "doc_id").limit(n))
+
+
+def silhouette_precomputed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: the silhouette from given distances (a, b, distance; each pair once) of rows
+    labelled by ``labels`` (id, topic_id) with an optional weight ``n``: rows at distance 0 that an id stands for."""
+    rows = labels.withColumn("n", F.lit(1)) if "n" not in labels.columns else labels
+    rows = rows.select("id", "topic_id", F.col("n").cast("double").alias("n"))
+    sizes = rows.groupBy("topic_id").agg(F.sum("n").alias("size"))
+    both = pairs.select("a", "b", "distance").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    other = rows.select(F.col("id").alias("b"), F.col("topic_id").alias("other"), F.col("n").alias("n_b"))
+    sums = both.join(other, "b").groupBy("a", "other").agg(F.sum(F.col("distance") * F.col("n_b")).alias("s"), F.sum("n_b").alias("m"))
+    # pairs that are not listed lie at distance 1, the largest of an agreement; rows of one id at 0
+    each = rows.crossJoin(F.broadcast(sizes.select(F.col("topic_id").alias("other"), "size")))
+    filled = each.join(sums, (F.col("id") == F.col("a")) & (each["other"] == sums["other"]), "left").select("id", "topic_id", "n", each["other"].alias("other"), "size", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("m", F.lit(0.0)).alias("m"))
+    own = F.col("topic_id") == F.col("other")
+    missing = F.col("size") - F.col("m") - F.when(own, F.col("n")).otherwise(0.0)
+    total = F.col("s") + missing
+    per = filled.groupBy("id").agg(F.max("n").alias("n"), F.max(F.when(own & (F.col("size") > 1), total / (F.col("size") - 1))).alias("a"), F.min(F.when(~own, total / F.col("size"))).alias("b"))
+    s = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.agg((F.sum(F.coalesce(s, F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("silhouette"))
+
+
 def _scatter(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _valid(docs)
     means = vx.centroids(rows)

@@ -9,22 +9,28 @@ method is not available on Spark, the docstring says what stands in for it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import LDA, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.functions import text as tx
+from topiloom.operators import metrics, text, topics
 from topiloom.operators.leiden import by_size
+from topiloom.store import cut
 
 #: Rows that a whole-matrix method takes at most.
 MATRIX_ROWS = 10_000
 #: Micro-clusters that stand for the rows of a larger table.
 MICRO_CLUSTERS = 1000
+#: Rows of a part that :func:`two_level` clusters in one task.
+PART_ROWS = 5_000
 
 
 def with_vector(docs: DataFrame, column: str = "embedding", out: str = "features") -> DataFrame:
@@ -37,12 +43,47 @@ def kmeans(docs: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic_id").fit(rows).transform(rows).select("doc_id", "topic_id")
 
 
-def kmeans_scan(docs: DataFrame, ks: tuple[int, ...], seed: int = 42) -> DataFrame:
-    """k, cost of k-means for each k."""
-    rows = with_vector(docs.select("doc_id", "embedding")).cache()
-    found = [(k, float(KMeans(k=k, seed=seed).fit(rows).summary.trainingCost)) for k in ks]
+def kmeans_scan(docs: DataFrame, ks: tuple[int, ...], seed: int = 42, sample: int = 5000) -> DataFrame:
+    """k, cost, silhouette, davies_bouldin, calinski_harabasz of k-means for each k: what
+    :func:`~topiloom.operators.topics.choose_k` chooses from.  The silhouette is that of
+    ``sample`` rows by a hash; all else is of the whole table."""
+    data = docs.select("doc_id", "embedding")
+    rows = with_vector(data).cache()
+    parts = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic_id").fit(rows)
+        found = cut(model.transform(rows).select("doc_id", "topic_id", "embedding"), "kmeans")
+        cost = docs.sparkSession.createDataFrame([(k, float(model.summary.trainingCost))], "k int, cost double")
+        parts.append(cost.crossJoin(metrics.silhouette_sampled(found, sample)).crossJoin(metrics.davies_bouldin(found)).crossJoin(metrics.calinski_harabasz(found)))
     rows.unpersist()
-    return docs.sparkSession.createDataFrame(found, "k int, cost double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prior_scan(docs: DataFrame, dims: int = 50, k: int = 200, priors: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), iterations: int = 20, seed: int = 42, sample: int = 5000) -> DataFrame:
+    """prior, silhouette, confidence, entropy, n_topics of a stick-breaking mixture for each
+    prior: what :func:`~topiloom.operators.topics.choose_prior` chooses from.  A component
+    counts as a topic from a weight of 1e-4 on."""
+    reduced = cut(pca(docs, dims, scale=True)[0], "reduced")
+    parts = []
+    for prior in priors:
+        p, weight = diagonal_mixture(reduced, k, iterations, seed, 1e-3, prior)
+        soft = cut(topics.soft_assignment(p), "soft")
+        labelled = soft.join(reduced, "doc_id").select("doc_id", "topic_id", F.col("reduced").alias("embedding"))
+        means = topics.mean_confidence(soft).select(F.col("mean_confidence").alias("confidence"), F.col("mean_entropy").alias("entropy"))
+        told = metrics.silhouette_sampled(labelled, sample).crossJoin(means)
+        parts.append(told.select(F.lit(float(prior)).alias("prior"), F.coalesce("silhouette", F.lit(0.0)).alias("silhouette"), "confidence", "entropy", F.lit(int((weight > 1e-4).sum())).alias("n_topics")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def topic_composite(docs: DataFrame, dims: int = 5, min_size: int = 10, outlier_threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, topic_id, new_topic_id) and (topic_id, term, weight, rank): vectors are reduced (PCA
+    stands in for UMAP), density clusters found, named by class TF-IDF, and outliers
+    taken into the nearest topic.  ``docs`` has doc_id, text and embedding."""
+    reduced = pca(docs, dims)[0].select("doc_id", F.col("reduced").alias("x"))
+    found = cut(density(reduced, min_size), "density")
+    named = docs.select("doc_id", "text", "embedding").join(found, "doc_id")
+    moved = topics.reassigned(named.select("doc_id", "topic_id", "embedding"), outlier_threshold, inclusive=False)
+    return moved, text.class_tfidf(named.where("topic_id >= 0").select("doc_id", "topic_id", "text"))
 
 
 def lda_topics(docs: DataFrame, k: int = 10, iterations: int = 10, vocabulary: int = 2000, seed: int = 42) -> DataFrame:
@@ -324,18 +365,41 @@ def two_level(docs: DataFrame, k: int = 12, seed: int = 42, fraction: int = 50)
     """doc_id, l1_topic, l2_topic: k-means, then density clusters inside each part; parts run in parallel.
 
     Rows in no density cluster have l2_topic -1.  A part is one task with some square matrices
-    of its rows."""
-    first = kmeans(docs, k, seed).withColumnRenamed("topic_id", "l1_topic")
-    rows = docs.select("doc_id", "embedding").join(first, "doc_id").select("l1_topic", F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
+    of its rows, so parts of more than ``PART_ROWS`` rows are parted further by k-means, and the
+    topics of all pieces of a part are numbered on."""
+    first = _bounded_parts(docs, kmeans(docs, k, seed), seed)
+    rows = docs.select("doc_id", "embedding").join(first, "doc_id").select("l1_topic", "piece", F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
         n = len(t)
         x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         sub = np.zeros(n, dtype=np.int64) if n <= 10 else density_labels(x, max(5, n // fraction), 3)[0]
-        return pa.table({"doc_id": t["doc_id"], "l1_topic": t["l1_topic"], "l2_topic": pa.array(sub.astype(np.int32))})
-
-    return rows.groupBy("l1_topic").applyInArrow(run, "doc_id long, l1_topic int, l2_topic int")
+        return pa.table({"doc_id": t["doc_id"], "l1_topic": t["l1_topic"], "piece": t["piece"], "l2_topic": pa.array(sub.astype(np.int32))})
+
+    found = cut(rows.groupBy("l1_topic", "piece").applyInArrow(run, "doc_id long, l1_topic int, piece int, l2_topic int"), "parts")
+    counts = found.groupBy("l1_topic", "piece").agg((F.max("l2_topic") + 1).alias("n"))
+    before = Window.partitionBy("l1_topic").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("l1_topic", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    number = F.when(F.col("l2_topic") >= 0, F.col("l2_topic") + F.col("shift")).otherwise(-1).cast("int")
+    return found.join(F.broadcast(shift), ["l1_topic", "piece"]).select("doc_id", "l1_topic", number.alias("l2_topic"))
+
+
+def _bounded_parts(docs: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    """doc_id, l1_topic, piece: every (l1_topic, piece) has at most about ``PART_ROWS`` rows."""
+    named = cut(parts.select("doc_id", F.col("topic_id").alias("l1_topic"), F.lit(0).alias("piece")), "pieces")
+    out = None
+    for r in named.groupBy("l1_topic").count().where(F.col("count") > PART_ROWS).collect():  # at most k parts
+        own = docs.join(named.where(F.col("l1_topic") == r["l1_topic"]).select("doc_id"), "doc_id")
+        split = kmeans(own, -(-2 * r["count"] // PART_ROWS), seed).select("doc_id", F.lit(r["l1_topic"]).alias("l1_topic"), F.col("topic_id").alias("piece"))
+        # pieces that k-means leaves too large are dealt by hash
+        sized = split.join(F.broadcast(split.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("m"))), "piece")
+        split = sized.select("doc_id", "l1_topic", (F.col("piece") * 1000 + F.pmod(F.xxhash64("doc_id"), F.col("m"))).cast("int").alias("piece"))
+        out = split if out is None else out.unionByName(split)
+    if out is None:
+        return named
+    out = cut(out, "pieces")
+    return named.join(out.select("l1_topic").distinct(), "l1_topic", "left_anti").select(*out.columns).unionByName(out)
 
 
 def gsdmm(docs: DataFrame, k: int = 50, alpha: float = 0.1, beta: float = 0.1, sweeps: int = 30, seed: int = 42) -> DataFrame:
@@ -445,7 +509,7 @@ def fused_features(docs: DataFrame, other: DataFrame) -> DataFrame:
 def hashed_text(docs: DataFrame, dims: int = 64) -> DataFrame:
     """doc_id, embedding: an offline stand-in for a sentence encoder: signed hashes of words, unit length."""
     words = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("w"))
-    h = F.xxhash64("w")
-    sums = words.select("doc_id", F.pmod(h, F.lit(dims)).cast("int").alias("d"), F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0).alias("s")).groupBy("doc_id", "d").agg(F.sum("s").alias("v"))
+    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    sums = words.select("doc_id", (h % dims).cast("int").alias("d"), F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("s")).groupBy("doc_id", "d").agg(F.sum("s").alias("v"))
     maps = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     return maps.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)) / F.greatest("n", F.lit(1e-12))).alias("embedding"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topiloom.config import TfIdf
 from topiloom.functions import text as tx
+from topiloom.store import cut
 
 
 def terms(docs: DataFrame, config: TfIdf = TfIdf(), group: str | None = None) -> DataFrame:
@@ -40,13 +41,14 @@ def vocabulary(tf: DataFrame, n_docs: Column | int, config: TfIdf = TfIdf(), gro
     return bounded.orderBy(F.desc("total"), "term").limit(config.max_features).select("term", "df")
 
 
-def tfidf(docs: DataFrame, config: TfIdf = TfIdf()) -> DataFrame:
+def tfidf(docs: DataFrame, config: TfIdf = TfIdf(), n_docs: int | None = None) -> DataFrame:
     """doc_id, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), rows of unit length.
 
-    The vocabulary has at most ``max_features`` rows, so it is broadcast.
+    The vocabulary has at most ``max_features`` rows, so it is broadcast.  Texts are taken
+    apart once: the term table is stored, and vocabulary and weights are read from it.
     """
-    n = docs.count()
-    tf = terms(docs, config)
+    n = docs.count() if n_docs is None else n_docs
+    tf = cut(terms(docs, config), "terms")
     vocab = vocabulary(tf, n, config)
     count = 1 + F.log("tf") if config.sublinear else F.col("tf")
     raw = tf.join(F.broadcast(vocab), "term").select("doc_id", "term", (count * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("raw"))
@@ -82,7 +84,7 @@ def coherence(docs: DataFrame, weights: DataFrame, top_n: int = 10, least: int =
 
 def class_tfidf(docs: DataFrame, config: TfIdf = TfIdf(), top_n: int = 10) -> DataFrame:
     """topic_id, term, weight, rank by class-based TF-IDF: tf in the topic times ln(1 + A / f)."""
-    tf = terms(docs, config).join(docs.select("doc_id", "topic_id"), "doc_id").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+    tf = cut(terms(docs, config).join(docs.select("doc_id", "topic_id"), "doc_id").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf")), "class-terms")
     per_topic = tf.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     average = per_topic.agg(F.avg("words").alias("a"))
     overall = tf.groupBy("term").agg(F.sum("tf").alias("f"))
@@ -90,3 +92,21 @@ def class_tfidf(docs: DataFrame, config: TfIdf = TfIdf(), top_n: int = 10) -> Da
     weight = F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("a") / F.col("f")), 6)
     rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term"))
     return scored.select("topic_id", "term", weight.alias("weight")).withColumn("rank", rank).where(F.col("rank") <= top_n)
+
+
+def keywords_over_time(docs: DataFrame, at: str = "ts", bins: int = 30, top_n: int = 5, config: TfIdf = TfIdf()) -> DataFrame:
+    """topic_id, bin, term, weight, rank: terms by class TF-IDF within each bin of time, where a
+    class is a topic's documents (doc_id, text, topic_id, ``at``) of that bin."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    bounds = docs.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi"))
+    index = F.least(F.floor((micros - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(bins - 1))
+    placed = docs.where(F.col(at).isNotNull()).crossJoin(F.broadcast(bounds)).select("doc_id", "topic_id", index.cast("int").alias("bin"))
+    tf = terms(docs, config).join(placed, "doc_id").groupBy("topic_id", "bin", "term").agg(F.sum("tf").alias("tf"))
+    tf = cut(tf, "bin-terms")
+    words = tf.groupBy("topic_id", "bin").agg(F.sum("tf").alias("words"))
+    average = words.groupBy("bin").agg(F.avg("words").alias("a"))
+    overall = tf.groupBy("bin", "term").agg(F.sum("tf").alias("f"))
+    scored = tf.join(overall, ["bin", "term"]).join(words, ["topic_id", "bin"]).join(average, "bin")
+    weight = F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("a") / F.col("f")), 6)
+    rank = F.row_number().over(Window.partitionBy("topic_id", "bin").orderBy(F.desc("weight"), "term"))
+    return scored.select("topic_id", "bin", "term", weight.alias("weight")).withColumn("rank", rank).where(F.col("rank") <= top_n)

@@ -138,6 +138,16 @@ def soft_assignment(probabilities: DataFrame) -> DataFrame:
     return probabilities.select("doc_id", (F.array_position("p", best) - 1).cast("int").alias("topic_id"), best.alias("confidence"), entropy.alias("entropy"), band.alias("band"))
 
 
+def mean_confidence(soft: DataFrame) -> DataFrame:
+    """One row: mean_confidence, mean_entropy and the share of rows with a high confidence."""
+    return soft.agg(F.avg("confidence").alias("mean_confidence"), F.avg("entropy").alias("mean_entropy"), F.avg(F.when(F.col("band") == "high", 1.0).otherwise(0.0)).alias("high_share"))
+
+
+def head(docs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by id."""
+    return docs.orderBy("doc_id").limit(n)
+
+
 def choose_resolution(scan: DataFrame) -> DataFrame:
     """The best row of a resolution scan (resolution, modularity, n_topics)."""
     fit = F.greatest(F.lit(0.0), 1 - F.abs(F.col("n_topics") - 80) / 100)

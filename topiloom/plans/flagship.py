@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from topiloom.operators import catalog, text, topics
 from topiloom.plans.oracle import DOCS, _BLACK, _DOMAINS, _centroids, _keywords, _tfidf
 from topiloom.plans.queries import documents
+from topiloom.store import cut
 
 
 def topic_report(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
-    keywords = text.keyword_strings(text.topic_keywords(d, text.tfidf(d)))
+    # ids and topics are stored for the steps that read only them; texts are read once
+    slim = cut(d.select("doc_id", "topic_id"), "topics")
+    keywords = text.keyword_strings(text.topic_keywords(slim, text.tfidf(d.select("doc_id", "text"), n_docs=slim.count())))
     near = topics.samples(d.select("doc_id", "topic_id", "embedding")).where("kind = 'top'")
     ids = near.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("samples"))
-    total = d.count()
-    rows = topics.sizes(d).join(keywords, "topic_id").join(ids, "topic_id").withColumn("id", F.col("topic_id").cast("string"))
+    total = slim.count()
+    rows = topics.sizes(slim).join(keywords, "topic_id").join(ids, "topic_id").withColumn("id", F.col("topic_id").cast("string"))
     scored = catalog.score_rules(rows, total)
     return scored.select("topic_id", "size", "keywords", "samples", "rule_grade", F.col("triggered").cast("long").alias("triggered"))
 

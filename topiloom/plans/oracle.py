@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from topiloom.functions.lists import BLACKLIST, DOMAINS, STOP_WORDS
-from topiloom.plans.queries import CONSENSUS_ROWS, K_ROWS, PRIOR_ROWS, RESOLUTION_ROWS, SCAN
+from topiloom.plans.queries import CONSENSUS_ROWS, HASHED_DIMS, K_ROWS, PRIOR_ROWS, RESOLUTION_ROWS, SCAN, TIME_BINS
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -78,6 +78,20 @@ assessed AS (SELECT *, coalesce(rule_grade, 'B') AS final_grade,
   CASE WHEN rule_grade IS NULL THEN CASE WHEN len(keywords) > 0 THEN substr(trim(string_split(keywords, ',')[1]), 1, 20) ELSE 'unknown' END END AS llm_name
   FROM graded)"""
 
+_TREE = f"""WITH RECURSIVE {VECS}, n_all AS (SELECT count(*) AS total FROM vecs), v AS (SELECT topic_id AS t, doc_id % 3 AS m, doc_id % 2 AS h FROM vecs),
+nodes AS (
+  SELECT 'v0_c' || t AS id, 0 AS r, t AS k, CASE WHEN t = 4 THEN 'v0_c1' END AS parent, CASE WHEN t = 4 THEN 1 ELSE 0 END AS depth, count(*) AS size, 'k' || t AS keywords, NULL AS rule_grade,
+    CASE WHEN t % 3 = 0 THEN 'C' WHEN t % 3 = 1 THEN 'B' WHEN t = 2 THEN 'D-meta' WHEN t = 5 THEN 'D-fragment' ELSE 'D' END AS final_grade,
+    CASE WHEN t % 3 = 0 THEN 'split_done' WHEN t % 3 = 1 THEN 'accept' WHEN t = 2 THEN 'bin_meta' WHEN t = 5 THEN 'bin_fragment' ELSE 'reject' END AS action,
+    CASE t % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'accepted' ELSE 'binned' END AS status FROM v GROUP BY t
+  UNION ALL SELECT 'v1_c' || (t * 3 + m), 1, t * 3 + m, 'v0_c' || t, 1, count(*), 'k' || t || ', w' || m, CASE WHEN m = 2 AND t = 0 THEN 'D-meta' END,
+    CASE WHEN m = 0 THEN 'C' WHEN m = 1 THEN 'A' WHEN t != 0 THEN 'B' END, CASE WHEN m = 0 THEN 'split_done' WHEN m = 1 OR t != 0 THEN 'accept' END,
+    CASE WHEN m = 0 THEN 'split' WHEN m = 2 AND t = 0 THEN 'pending' ELSE 'accepted' END FROM v WHERE t % 3 = 0 GROUP BY t, m
+  UNION ALL SELECT 'v2_c' || (t * 2 + h), 2, t * 2 + h, 'v1_c' || (t * 3), 2, count(*), '', NULL, 'B', 'accept', 'accepted' FROM v WHERE t % 3 = 0 AND m = 0 GROUP BY t, h),
+named AS (SELECT *, CASE WHEN status = 'accepted' THEN 'topic ' || id END AS llm_name FROM nodes),
+leaves AS (SELECT * FROM named WHERE status != 'binned' AND id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)),
+made AS (SELECT * FROM leaves WHERE status = 'accepted'), gone AS (SELECT * FROM named WHERE status = 'binned')"""
+
 _LABELLINGS = f"""WITH {UNITS}, {_centroids()}, {UNIT_CENTS}, {_NEAREST.format("units")},
 labels AS (SELECT v.doc_id, v.topic_id AS l1, CAST(v.doc_id % 7 AS INTEGER) AS l2, nearest AS l3, CAST(v.doc_id % 11 AS INTEGER) AS c FROM vecs v JOIN near USING (doc_id))"""
 _MODES = """mode1 AS (SELECT c, l1 FROM (SELECT c, l1, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, min(doc_id)) AS r FROM labels GROUP BY 1, 2) WHERE r = 1),
@@ -96,6 +110,10 @@ _REPLIES = [
     "{bad}",
 ]
 
+HASHED = f"""WITH {DOCS}, words AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS w FROM docs)),
+sums AS (SELECT doc_id, h % {HASHED_DIMS} AS d, sum(CASE WHEN (h // {HASHED_DIMS}) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM words GROUP BY 1, 2),
+hashed AS (SELECT doc_id, d, CAST(v AS DOUBLE) / greatest(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 1e-12) AS x FROM sums)"""
+
 ORACLES: dict[str, str] = {
     "topic_sizes": f"WITH {VECS} SELECT topic_id, count(*) AS size FROM vecs WHERE topic_id >= 0 GROUP BY 1",
     "size_stats": f"WITH {VECS}, s AS (SELECT count(*) AS size FROM vecs GROUP BY topic_id) SELECT count(*) AS n_topics, min(size) AS min_size, max(size) AS max_size, median(size) AS median_size FROM s",
@@ -212,6 +230,49 @@ ORACLES: dict[str, str] = {
       SELECT total_headlines, accepted_topics, accepted_headlines, round(accepted_headlines / total_headlines * 100, 1) AS accepted_pct, binned_headlines, round(binned_headlines / total_headlines * 100, 1) AS binned_pct,
         total_headlines - accepted_headlines - binned_headlines AS unaccounted, meta_items, residual_items FROM s""",
     "tree_edges": f"{_NODES} SELECT CAST(NULL AS VARCHAR) AS parent, id, coalesce(llm_name, substr(keywords, 1, 30)) AS name, size, 0 AS depth, status FROM assessed WHERE status IN ('accepted', 'split')",
+    "head_rows": "SELECT doc_id, substr(text, 1, 80) AS head FROM documents ORDER BY doc_id LIMIT 50",
+    "merged_keywords": BLOCK_SIMS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {CANDIDATES.format(4)}, links AS (SELECT a AS u, b AS v FROM candidates UNION ALL SELECT b, a FROM candidates), topics AS (SELECT DISTINCT topic_id AS t FROM vecs),
+      reach AS (SELECT t AS x, t AS y FROM topics UNION SELECT x, v FROM reach JOIN links ON y = u), roots AS (SELECT x, min(y) AS root, count(*) AS n FROM reach GROUP BY x),
+      m AS (SELECT x, CAST(dense_rank() OVER (ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, root) - 1 AS INTEGER) AS new_topic FROM roots),
+      {DOCS}, mdocs AS (SELECT doc_id, new_topic AS topic_id FROM docs JOIN m ON topic_id = x), {_tfidf()}, {_keywords("mdocs", top=8)} SELECT topic_id, term, weight, rank FROM ranked""",
+    "keywords_over_time": f"""WITH docs AS (SELECT d.doc_id, d.text, e.label AS topic_id, epoch_us(v.ts) AS us FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id JOIN events v ON v.event_id = d.doc_id),
+      span AS (SELECT min(us) AS lo, max(us) AS hi FROM docs), placed AS (SELECT doc_id, topic_id, least((us - lo) * {TIME_BINS} // greatest(hi - lo, 1), {TIME_BINS - 1}) AS bin FROM docs, span WHERE us IS NOT NULL),
+      {_words()}, t AS (SELECT topic_id, bin, term, sum(tf) AS tf FROM terms JOIN placed USING (doc_id) GROUP BY 1, 2, 3), per AS (SELECT topic_id, bin, sum(tf) AS words FROM t GROUP BY 1, 2),
+      f AS (SELECT bin, term, sum(tf) AS f FROM t GROUP BY 1, 2), a AS (SELECT bin, avg(words) AS a FROM per GROUP BY 1),
+      s AS (SELECT topic_id, bin, term, round(tf / words * ln(1 + a / f), 6) AS weight FROM t JOIN f USING (bin, term) JOIN per USING (topic_id, bin) JOIN a USING (bin))
+      SELECT topic_id, CAST(bin AS BIGINT) AS bin, term, weight, row_number() OVER (PARTITION BY topic_id, bin ORDER BY weight DESC, term) AS rank FROM s QUALIFY rank <= 5""",
+    "mean_confidence": f"{_PROBS}, {_SOFT} SELECT round(avg(confidence), 6) AS mean_confidence, round(avg(entropy), 6) AS mean_entropy, round(avg(CASE WHEN confidence >= 0.5 THEN 1.0 ELSE 0 END), 6) AS high_share FROM soft",
+    "silhouette_sample": f"""WITH {VECS}, picked AS (SELECT * FROM vecs WHERE topic_id != -1 ORDER BY md5('42:' || doc_id), doc_id LIMIT 200),
+      d AS (SELECT a.doc_id, a.topic_id AS own, b.topic_id AS other, sum(list_distance(a.e, b.e)) / count(*) AS m FROM picked a JOIN picked b ON a.doc_id != b.doc_id GROUP BY 1, 2, 3),
+      s AS (SELECT doc_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own != other) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s""",
+    "assess_deep": f"""{_NODES}, d AS (SELECT *, CAST(place % 3 AS INTEGER) AS depth, place % 3 = 2 AS deep FROM assessed)
+      SELECT id, depth, CASE WHEN NOT deep THEN rule_grade END AS rule_grade, CASE WHEN deep OR rule_grade IS NULL THEN 'B' END AS llm_grade,
+        CASE WHEN deep THEN CASE WHEN len(keywords) > 0 THEN array_to_string(list_slice(string_split(keywords, ', '), 1, 3), '、') ELSE '杂项' END ELSE llm_name END AS llm_name,
+        CASE WHEN NOT deep AND rule_grade IS NULL THEN 'keep' END AS llm_action, CASE WHEN deep THEN 'B' ELSE final_grade END AS final_grade, CASE WHEN deep THEN 'accept' ELSE action END AS action, CASE WHEN deep THEN 'accepted' ELSE status END AS status FROM d""",
+    "tree_stop_flags": f"""{_TREE}, f AS (SELECT any_value(total) AS total, count(*) FILTER (status = 'accepted') AS n, count(*) FILTER (status = 'accepted' AND final_grade IN ('A', 'B')) AS good, coalesce(max(size) FILTER (status = 'accepted'), 0) AS big,
+        coalesce(min(size) FILTER (status = 'accepted' AND depth < 2), 0) AS small, count(*) FILTER (status = 'accepted' AND depth >= 2 AND size < 10) AS deep, coalesce(sum(size) FILTER (status = 'binned'), 0) AS binned,
+        count(*) FILTER (status = 'pending' AND rule_grade = 'D-meta') AS meta, count(*) FILTER (status = 'pending') AS pending FROM named, n_all),
+      g AS (SELECT n > 0 AND good = n AS all_named, big < total * 0.15 AS max_topic_ok, small >= 15 AS min_size_ok, binned < total * 0.10 AS cd_ratio_ok, meta = 0 AS meta_clean, pending = 0 AS no_pending, small AS min_size_shallow_min, deep AS deep_under_10 FROM f)
+      SELECT *, all_named AND max_topic_ok AND min_size_ok AND cd_ratio_ok AND meta_clean AND no_pending AS all_pass FROM g""",
+    "tree_catalog": f"{_TREE} SELECT row_number() OVER (ORDER BY r, k) AS topic_id, coalesce(llm_name, '') AS topic_name, coalesce(final_grade, '') AS grade, size, depth, keywords, action FROM made",
+    "tree_buckets": f"{_TREE} SELECT CASE WHEN action = 'bin_meta' THEN 'meta' WHEN action = 'bin_fragment' THEN 'residual' ELSE 'rejected' END AS bucket, id AS source_id, size, keywords FROM gone",
+    "tree_summary": f"""{_TREE}, a AS (SELECT count(*) AS accepted_topics, CAST(coalesce(sum(size), 0) AS BIGINT) AS accepted_headlines FROM made),
+      b AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS binned_headlines, count(*) FILTER (action = 'bin_meta') AS meta_items, count(*) FILTER (action = 'bin_fragment') AS residual_items FROM gone)
+      SELECT total AS total_headlines, accepted_topics, accepted_headlines, round(accepted_headlines / total * 100, 1) AS accepted_pct, binned_headlines, round(binned_headlines / total * 100, 1) AS binned_pct,
+        total - accepted_headlines - binned_headlines AS unaccounted, meta_items, residual_items FROM a, b, n_all""",
+    "tree_levels": f"""{_TREE}, own AS (SELECT parent, id, coalesce(llm_name, substr(keywords, 1, 30)) AS name, size, depth, status FROM named),
+      tree AS (SELECT * FROM own WHERE parent IS NULL AND status IN ('accepted', 'split') UNION ALL SELECT own.* FROM own JOIN tree ON own.parent = tree.id) SELECT * FROM tree""",
+    "leaf_nodes": f"{_TREE} SELECT id, depth, size, status FROM leaves",
+    "round_nodes": f"{_TREE} SELECT id, parent, depth, size, status FROM named WHERE starts_with(id, 'v1_')",
+    "nodes_by_status": f"{_TREE} SELECT status, depth, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM named WHERE status IN ('pending', 'accepted') GROUP BY 1, 2",
+    "consensus_silhouette": f"""{_LABELLINGS}, t AS (SELECT l1, l2, l3, count(*) AS n, min(doc_id) AS f FROM labels GROUP BY 1, 2, 3),
+      d AS (SELECT x.f, x.n, x.l1 AS own, y.l1 AS other, sum(y.n * (1 - (CAST(x.l1 = y.l1 AS INTEGER) + CAST(x.l2 = y.l2 AS INTEGER) + CAST(x.l3 = y.l3 AS INTEGER)) / 3)) AS s, sum(y.n) AS m FROM t x, t y GROUP BY 1, 2, 3, 4),
+      s AS (SELECT f, n, max(s / (m - 1)) FILTER (own = other AND m > 1) AS a, min(s / m) FILTER (own != other) AS b FROM d GROUP BY 1, 2)
+      SELECT round(sum(coalesce((b - a) / nullif(greatest(a, b), 0), 0) * n) / sum(n), 6) AS silhouette FROM s""",
+    "hashed_vectors": f"{HASHED} SELECT doc_id, d AS pos, round(x, 6) AS x FROM hashed WHERE round(x, 6) != 0",
+    "fused_vectors": f"""{HASHED}, {VECS}, parts AS (SELECT doc_id, d + 65 AS place, x FROM hashed UNION ALL SELECT doc_id, unnest(range(1, len(e) + 1)) AS place, unnest(e) AS x FROM vecs WHERE doc_id IN (SELECT doc_id FROM hashed))
+      SELECT doc_id, CAST(64 + {HASHED_DIMS} AS BIGINT) AS dims, round(sum(x * place), 5) AS weighted_sum FROM parts GROUP BY 1""",
     "coassoc_tuples": f"""{_LABELLINGS}, t AS (SELECT l1, l2, l3, count(*) AS n, min(doc_id) AS f FROM labels GROUP BY 1, 2, 3),
       p AS (SELECT x.f AS a, y.f AS b, x.n, y.n AS n_b, (CAST(x.l1 = y.l1 AS INTEGER) + CAST(x.l2 = y.l2 AS INTEGER) + CAST(x.l3 = y.l3 AS INTEGER)) AS k FROM t x JOIN t y ON x.f < y.f)
       SELECT a, b, n, n_b, round(k / 3, 6) AS agreement FROM p WHERE k > 0""",

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topiloom.config import TINY, CatalogConfig, TfIdf
+from topiloom.config import RESOLUTIONS, TINY, CatalogConfig, TfIdf
 from topiloom.functions import text as tx
 from topiloom.operators import catalog, consensus, graph, metrics, models, text, topics
 from topiloom.operators import vectors as vx
 from topiloom.plans import run
 from topiloom.sources.readers import table
 from topiloom.sources.writers import size_rank
+from topiloom.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KNN = 20
@@ -79,6 +80,11 @@ def clean_sample(spark, sf):
     return s.select("doc_id", F.col("idx").cast("long").alias("idx"), F.substring("text", 1, 80).alias("head"))
 
 
+@query
+def head_rows(spark, sf):
+    return topics.head(table(spark, sf, "documents"), 50).select("doc_id", F.substring("text", 1, 80).alias("head"))
+
+
 @query
 def named_topics(spark, sf):
     names = spark.createDataFrame([(i, f"topic {i}") for i in range(0, 10, 2)], "topic_id int, name string")
@@ -132,7 +138,8 @@ def tfidf_sublinear(spark, sf):
 @query
 def topic_keywords(spark, sf):
     d = documents(spark, sf)
-    return text.topic_keywords(d, text.tfidf(d)).withColumn("rank", F.col("rank").cast("long"))
+    slim = cut(d.select("doc_id", "topic_id"), "topics")
+    return text.topic_keywords(slim, text.tfidf(d.select("doc_id", "text"), n_docs=slim.count())).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -252,6 +259,15 @@ def merged_sizes(spark, sf):
     return v.join(F.broadcast(mapping), F.col("topic_id") == F.col("old_topic")).groupBy("new_topic").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query
+def merged_keywords(spark, sf):
+    v, d = vectors(spark, sf), documents(spark, sf).select("doc_id", "text", "topic_id")
+    pairs = topics.merge_candidates(vx.centroid_similarities(vx.centroids(v)), 0.0, 0.95, 4)
+    mapping = topics.merge_map(v.select("topic_id").distinct(), pairs)
+    merged = d.join(F.broadcast(mapping), F.col("topic_id") == F.col("old_topic")).select("doc_id", F.col("new_topic").alias("topic_id"))
+    return text.topic_keywords(merged, text.tfidf(d), 8).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query
 def neighbor_concat(spark, sf):
     d = documents(spark, sf)
@@ -274,6 +290,16 @@ def topics_over_time_top(spark, sf):
     return series.join(F.broadcast(topics.top_topics(e, "event_type", 3).select("topic")), "topic", "left_semi")
 
 
+TIME_BINS = 5
+
+
+@query
+def keywords_over_time(spark, sf):
+    dated = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    k = text.keywords_over_time(documents(spark, sf).select("doc_id", "text", "topic_id").join(dated, "doc_id"), bins=TIME_BINS)
+    return k.select("topic_id", F.col("bin").cast("long").alias("bin"), "term", "weight", F.col("rank").cast("long").alias("rank"))
+
+
 def _probabilities(v: DataFrame) -> DataFrame:
     """doc_id, p: shares of exp(8 * cosine) over the topics, in their order."""
     cents = vx.centroids(v).select("topic_id", vx.unit(F.col("centroid")).alias("u"))
@@ -289,6 +315,11 @@ def soft_assignment(spark, sf):
     return s.select("doc_id", "topic_id", F.round("confidence", 6).alias("confidence"), F.round("entropy", 6).alias("entropy"), "band")
 
 
+@query
+def mean_confidence(spark, sf):
+    return _rounded(topics.mean_confidence(topics.soft_assignment(_probabilities(vectors(spark, sf)))))
+
+
 @query
 def confidence_histogram(spark, sf):
     s = topics.soft_assignment(_probabilities(vectors(spark, sf))).withColumn("confidence", F.round("confidence", 5))
@@ -351,6 +382,11 @@ def silhouette_euclid(spark, sf):
     return _rounded(metrics.silhouette_euclidean(vectors(spark, sf)))
 
 
+@query
+def silhouette_sample(spark, sf):
+    return _rounded(metrics.silhouette_sampled(vectors(spark, sf), 200))
+
+
 @query
 def calinski_harabasz(spark, sf):
     return _rounded(metrics.calinski_harabasz(vectors(spark, sf)))
@@ -366,9 +402,11 @@ def davies_bouldin(spark, sf):
 
 def _nodes(spark, sf) -> tuple[DataFrame, DataFrame, int]:
     d = uneven(documents(spark, sf))
-    keywords = text.keyword_strings(text.topic_keywords(d, text.tfidf(d)))
-    nodes, membership = catalog.root_nodes(d, keywords)
-    return nodes.persist(), membership, d.count()  # a row per topic, read by all that follows
+    slim = cut(d.select("doc_id", "topic_id"), "topics")
+    total = slim.count()
+    keywords = text.keyword_strings(text.topic_keywords(slim, text.tfidf(d.select("doc_id", "text"), n_docs=total)))
+    nodes, membership = catalog.root_nodes(slim, keywords)
+    return cut(nodes, "nodes"), membership, total  # a row per topic, read by all that follows
 
 
 @query
@@ -402,6 +440,84 @@ def catalog_rows(spark, sf):
     return catalog.catalog_rows(nodes).withColumn("topic_id", F.col("topic_id").cast("long"))
 
 
+@query
+def assess_deep(spark, sf):
+    """As assess_nodes, with nodes of the depths 0 to 2: the deepest are accepted as they are."""
+    nodes, _, total = _nodes(spark, sf)
+    deep = nodes.withColumn("depth", (F.regexp_extract("id", r"_c(\d+)$", 1).cast("int") % 3).cast("int"))
+    return catalog.assess(deep, total).select("id", "depth", "rule_grade", "llm_grade", "llm_name", "llm_action", "final_grade", "action", "status")
+
+
+def _tree(spark, sf) -> tuple[DataFrame, int]:
+    """Nodes of three rounds: split, accepted and binned roots, one of them hung under another,
+    children of the split ones, one still pending, and grandchildren."""
+    v = vectors(spark, sf).withColumns({"t": F.col("topic_id"), "m": (F.col("doc_id") % 3).cast("int"), "h": (F.col("doc_id") % 2).cast("int")})
+    name = lambda r, k: F.concat(F.lit(f"v{r}_c"), k.cast("string"))
+    t, m, h = F.col("t"), F.col("m"), F.col("h")
+    none = F.lit(None).cast("string")
+    status = F.when(t % 3 == 0, "split").when(t % 3 == 1, "accepted").otherwise("binned")
+    action = F.when(t % 3 == 0, "split_done").when(t % 3 == 1, "accept").when(t == 2, "bin_meta").when(t == 5, "bin_fragment").otherwise("reject")
+    grade = F.when(t % 3 == 0, "C").when(t % 3 == 1, "B").when(t == 2, "D-meta").when(t == 5, "D-fragment").otherwise("D")
+    roots = v.groupBy("t").agg(F.count(F.lit(1)).alias("size"))
+    roots = roots.select(name(0, t).alias("id"), F.when(t == 4, "v0_c1").alias("parent"), F.when(t == 4, 1).otherwise(0).alias("depth"), "size", F.concat(F.lit("k"), t.cast("string")).alias("keywords"), none.alias("rule_grade"), grade.alias("final_grade"), action.alias("action"), status.alias("status"))
+    below = v.where(t % 3 == 0)
+    pending = (m == 2) & (t == 0)
+    children = below.groupBy("t", "m").agg(F.count(F.lit(1)).alias("size"))
+    children = children.select(name(1, t * 3 + m).alias("id"), name(0, t).alias("parent"), F.lit(1).alias("depth"), "size", F.concat(F.lit("k"), t.cast("string"), F.lit(", w"), m.cast("string")).alias("keywords"), F.when(pending, "D-meta").alias("rule_grade"), F.when(m == 0, "C").when(m == 1, "A").when(~pending, "B").alias("final_grade"), F.when(m == 0, "split_done").when(~pending, "accept").alias("action"), F.when(m == 0, "split").when(pending, "pending").otherwise("accepted").alias("status"))
+    deep = below.where(m == 0).groupBy("t", "h").agg(F.count(F.lit(1)).alias("size"))
+    deep = deep.select(name(2, t * 2 + h).alias("id"), name(1, t * 3).alias("parent"), F.lit(2).alias("depth"), "size", F.lit("").alias("keywords"), none.alias("rule_grade"), F.lit("B").alias("final_grade"), F.lit("accept").alias("action"), F.lit("accepted").alias("status"))
+    rows = roots.unionByName(children).unionByName(deep)
+    blank = catalog.new_nodes(rows)
+    named = F.when(F.col("status") == "accepted", F.concat(F.lit("topic "), F.col("id")))
+    filled = rows.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("rule_grade", "final_grade", "action", "status")))
+    nodes = blank.join(filled, F.col("id") == F.col("_id")).withColumns({c: F.col(f"_{c}") for c in ("rule_grade", "final_grade", "action", "status")}).withColumn("llm_name", named)
+    return cut(nodes.select(*blank.columns), "tree"), v.count()
+
+
+@query
+def tree_stop_flags(spark, sf):
+    nodes, total = _tree(spark, sf)
+    return catalog.stop_flags(nodes, total)
+
+
+@query
+def tree_catalog(spark, sf):
+    return catalog.catalog_rows(_tree(spark, sf)[0]).withColumn("topic_id", F.col("topic_id").cast("long"))
+
+
+@query
+def tree_buckets(spark, sf):
+    return catalog.bucket_rows(_tree(spark, sf)[0])
+
+
+@query
+def tree_summary(spark, sf):
+    nodes, total = _tree(spark, sf)
+    return catalog.catalog_summary(nodes, total)
+
+
+@query
+def tree_levels(spark, sf):
+    return catalog.tree_edges(_tree(spark, sf)[0])
+
+
+@query
+def leaf_nodes(spark, sf):
+    return catalog.leaves(_tree(spark, sf)[0]).select("id", "depth", "size", "status")
+
+
+@query
+def round_nodes(spark, sf):
+    return catalog.of_round(_tree(spark, sf)[0], 1).select("id", "parent", "depth", "size", "status")
+
+
+@query
+def nodes_by_status(spark, sf):
+    nodes, _ = _tree(spark, sf)
+    kept = catalog.with_status(nodes, "pending", "accepted")
+    return kept.groupBy("status", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
 @query
 def catalog_buckets(spark, sf):
     return catalog.bucket_rows(_assessed(spark, sf)[0])
@@ -439,6 +555,15 @@ def coassoc_tuples(spark, sf):
     return c.withColumn("agreement", F.round("agreement", 6))
 
 
+@query
+def consensus_silhouette(spark, sf):
+    """Of the first labelling, over distances 1 - agreement of the distinct tuples."""
+    labels = _labellings(spark, sf)
+    pairs = consensus.coassociation(labels, ["l1", "l2", "l3"]).select("a", "b", (1 - F.col("agreement")).alias("distance"))
+    rows = consensus.label_tuples(labels, ["l1", "l2", "l3"]).select(F.col("first_doc").alias("id"), F.col("l1").alias("topic_id"), "n")
+    return _rounded(metrics.silhouette_precomputed(pairs, rows))
+
+
 @query
 def consensus_modes(spark, sf):
     rows = _labellings(spark, sf).withColumn("c", (F.col("doc_id") % 11).cast("int"))
@@ -466,11 +591,19 @@ def propagated_communities(spark, sf):
     return graph.propagated(graph.undirected(vx.nearest_neighbours(v, KNN)), v.select("doc_id"), 3)
 
 
+def _resolutions(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    return graph.resolution_scan(graph.undirected(vx.nearest_neighbours(v, KNN)), v.select("doc_id"), RESOLUTIONS)
+
+
 @query
 def resolution_scan(spark, sf):
-    v = vectors(spark, sf)
-    found = graph.communities(graph.undirected(vx.nearest_neighbours(v, KNN)), v.select("doc_id"), resolutions=(0.5, 1.0, 2.0))
-    return found.groupBy("resolution").agg(F.countDistinct("community").alias("n_topics"))
+    return _resolutions(spark, sf)
+
+
+@query
+def best_resolution(spark, sf):
+    return topics.choose_resolution(_resolutions(spark, sf))
 
 
 @query
@@ -495,6 +628,39 @@ def kmeans_scan(spark, sf):
     return models.kmeans_scan(vectors(spark, sf), (5, 10, 15))
 
 
+@query
+def best_k(spark, sf):
+    return topics.choose_k(models.kmeans_scan(vectors(spark, sf), (5, 10, 15)))
+
+
+@query
+def prior_scan(spark, sf):
+    return models.prior_scan(vectors(spark, sf), dims=10, k=40, iterations=5)
+
+
+@query
+def consensus_scan(spark, sf):
+    return consensus.consensus_scan(_labellings(spark, sf), ["l1", "l2", "l3"], (20, 50, 100))
+
+
+@query
+def best_consensus(spark, sf):
+    scan = cut(consensus.consensus_scan(_labellings(spark, sf), ["l1", "l2", "l3"], (20, 50, 100)), "scan")
+    parts = [topics.choose_consensus(scan, c).select(F.lit(c).alias("criterion"), "n_clusters") for c in ("max_silhouette", "min_abs_silhouette", "median_size")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def topic_composite(spark, sf):
+    return models.topic_composite(documents(spark, sf))[0]
+
+
+@query
+def explained_variance(spark, sf):
+    shares = models.pca(vectors(spark, sf), 10)[1]
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, share double")
+
+
 @query
 def lda_topics(spark, sf):
     return models.lda_topics(documents(spark, sf), 5, 5)
@@ -553,7 +719,29 @@ def discriminant_topics(spark, sf):
     return models.discriminant_loop(vectors(spark, sf), 5, 4, 2)
 
 
+HASHED_DIMS = 32
+
+
+@query
+def hashed_vectors(spark, sf):
+    v = models.hashed_text(documents(spark, sf), HASHED_DIMS)
+    return v.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")).where("x != 0")
+
+
+def _fused(spark, sf) -> DataFrame:
+    encoded = models.hashed_text(documents(spark, sf), HASHED_DIMS)
+    return models.fused_features(vectors(spark, sf), encoded.withColumnRenamed("embedding", "reduced"))
+
+
+@query
+def fused_vectors(spark, sf):
+    place = F.transform("embedding", lambda x, i: x * (i + 1))
+    total = F.aggregate(place, F.lit(0.0), lambda s, x: s + x)
+    return _fused(spark, sf).select("doc_id", F.size("embedding").cast("long").alias("dims"), F.round(total, 5).alias("weighted_sum"))
+
+
 @query
 def fused_topics(spark, sf):
-    encoded = models.hashed_text(documents(spark, sf), 32)
-    return models.kmeans(models.fused_features(vectors(spark, sf), encoded.withColumnRenamed("embedding", "reduced")), 10)
+    """Fusion: vectors and hashed words side by side, reduced, then a mixture."""
+    reduced = cut(models.pca(_fused(spark, sf), 10)[0], "reduced")
+    return topics.soft_assignment(models.diagonal_mixture(reduced, 10, 5)[0]).select("doc_id", "topic_id")

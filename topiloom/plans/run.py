@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from topiloom.config import ROOT_NEIGHBOURS, ROOT_RESOLUTION, CatalogConfig
 from topiloom.operators import catalog, graph, text
 from topiloom.operators import vectors as vx
 from topiloom.sources import writers
+from topiloom.store import cut, fresh_path
 
 STAGES = ("INIT", "CLUSTER", "ASSESS", "SPLIT", "CHECK", "EXPORT")
 
@@ -35,8 +35,7 @@ def run_catalog(spark: SparkSession, docs: DataFrame, store: str | None = None,
     missing = {"doc_id", "text", "embedding"} - set(docs.columns)
     if missing:
         raise ValueError(f"documents lack {sorted(missing)}")
-    folder = store or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='topiloom-')}"
-    state = writers.CatalogStore(spark, folder if store else f"{folder}/catalog-{spark.sparkContext.applicationId}")
+    state = writers.CatalogStore(spark, store or fresh_path(spark, "catalog"))
     total = docs.count()
     median = vx.sampled_median_distance(docs, seed=config.seed).first()[0] if config.enable_r5 else None
     last = state.last() if resume or from_stage not in ("INIT", "CLUSTER") else None
@@ -49,20 +48,24 @@ def run_catalog(spark: SparkSession, docs: DataFrame, store: str | None = None,
         last = 0
     else:
         nodes, membership = state.load(last)
+    dropped = spark.createDataFrame([], "node_id string, doc_id long, round int")
     if from_stage != "EXPORT":
         for round_ in range(last + 1, config.max_rounds + 2):
             with_spread = nodes
             if config.enable_r5:
                 spread = vx.mean_pairwise_distance(membership.join(docs.select("doc_id", "embedding"), "doc_id"), "node_id")
                 with_spread = nodes.drop("mean_pairwise_dist").join(spread.select(F.col("node_id").alias("id"), "mean_pairwise_dist"), "id", "left").select(*nodes.columns)
-            assessed = catalog.assess(with_spread, total, median, judge, config)
+            # a judge is asked once a round; what follows reads its stored replies
+            assessed = cut(catalog.assess(with_spread, total, median, judge, config), "assessed")
             step = catalog.split(assessed, membership, docs.select("doc_id", "text", "embedding"), round_, config)
             nodes, membership = state.save(round_, step.nodes, step.membership)
+            dropped = dropped.unionByName(cut(step.dropped.select("node_id", F.col("doc_id").cast("long").alias("doc_id"), F.lit(round_).alias("round")), "dropped"))
             if catalog.stop_flags(nodes, total, config).first()["all_pass"]:
                 break
         else:
-            nodes = catalog.assess(nodes, total, median, judge, config)
-    tables = {"nodes": nodes, "membership": membership, "catalog": catalog.catalog_rows(nodes), "buckets": catalog.bucket_rows(nodes), "summary": catalog.catalog_summary(nodes, total), "tree": catalog.tree_edges(nodes), "flags": catalog.stop_flags(nodes, total, config)}
+            # the last children are graded, and saved, so that a later export is the same
+            nodes, membership = state.save(config.max_rounds + 2, catalog.assess(nodes, total, median, judge, config), membership)
+    tables = {"nodes": nodes, "membership": membership, "dropped": dropped, "catalog": catalog.catalog_rows(nodes), "buckets": catalog.bucket_rows(nodes), "summary": catalog.catalog_summary(nodes, total), "tree": catalog.tree_edges(nodes), "flags": catalog.stop_flags(nodes, total, config)}
     if out:
         Path(out).mkdir(parents=True, exist_ok=True)
         writers.csv_report(tables["catalog"], f"{out}/catalog.csv")

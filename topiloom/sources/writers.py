@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topiloom.store import cut
+
 
 def csv_report(rows: DataFrame, path: str, bom: bool = False) -> None:
     """A report of bounded size as one CSV file, with a byte-order mark if wanted."""
@@ -18,6 +25,32 @@ def csv_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def npy_vectors(vectors: DataFrame, folder: str) -> DataFrame:
+    """path, first_id, rows: the vectors (doc_id, embedding) as array files in ``folder``, one
+    for each task, every one with a file of its ids beside it; rows are in the order of ids."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        out = []
+        if rows is not None:
+            store, base = pyarrow.fs.FileSystem.from_uri(folder)
+            store.create_dir(base, recursive=True)
+            rows = rows.sort_by("doc_id")
+            ids = rows["doc_id"].to_numpy()
+            x = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), -1)
+            name = uuid.uuid4().hex
+            for suffix, array in (("", x), (".ids", ids)):
+                with store.open_output_stream(f"{base}/{name}{suffix}.npy") as stream:
+                    held = io.BytesIO()
+                    np.save(held, array)
+                    stream.write(held.getbuffer())
+            out = [{"path": f"{folder}/{name}.npy", "first_id": int(ids[0]), "rows": len(ids)}]
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("rows", pa.int64())]))
+
+    rows = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding IS NOT NULL")
+    return cut(rows.mapInArrow(run, "path string, first_id long, rows long"), "npy")
+
+
 def json_report(one_row: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(one_row.first().asDict(True), indent=2, ensure_ascii=False))
 
