@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_queries import brute_secrets
 from topiloom.llm import packing
@@ -102,6 +103,86 @@ def test_all_tokens_are_packed(stages):
     assert used <= 1.002 * sum(want.values()) / packing.SEQUENCE + 1
 
 
+NAMES = ("row", "text_", "id", "hash", "_id", "_hash", "kept", "_kept", "_first", "score", "lang_pred", "runs", "_letter", "letter", "spans", "items", "n_words", "_spans", "_items", "blob", "_blob", "found", "gaps", "chunks", "new", "at", "last", "_salt", "_n", "component", "root", "sid", "stays", "n", "_suspect", "label", "h")
+LONG = "the and of to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will"
+SECRET = "then there were two of them and they had said so token=abcdef0123 and more"
+ROWS = (
+    [(i, f"{LONG} {i} " + " ".join(f"w{i}x{k}" for k in range(60)), "en", "s", 1) for i in range(30)]
+    + [(100 + i, "der die das und ist nicht ein eine von mit auf " + " ".join(f"d{i}y{k}" for k in range(60)), "de", "s", 1) for i in range(30)]
+    + [
+        (200, None, None, None, None),
+        (201, "", "en", "s", 0),
+        (202, " \n\t", "de", None, 3),
+        (None, LONG + " with no id", "en", "s", 9),
+        (None, LONG + " with no id", "en", "s", 9),
+        (203, LONG * 400, "en", "hot", 9),
+        (204, LONG * 400, "en", "hot", 9),
+        (205, SECRET, None, "s", 9),
+        (205, SECRET, None, "s", 9),
+    ]
+)
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    docs = spark.createDataFrame(list(ROWS), "doc_id long, text string, lang string, source string, n_chars long")
+    for c in NAMES:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    return docs
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame([(1, "w3x10 w3x11 w3x12 w3x13 w3x14 w3x15 w3x16 w3x17 w3x18 w3x19"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def gone_and_left(stage, spark, docs, folder):
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    if stage == "best_fit_packing":
+        return out.collect()
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in NAMES)
+    return rows
+
+
+def test_odd_rows_in_language_id(spark, odd_docs, odd_dir):
+    rows = gone_and_left("language_id", spark, odd_docs, odd_dir)
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ROWS if r[0] not in (200, 201, 202))
+
+
+def test_odd_rows_in_near_dedup(spark, odd_docs, odd_dir):
+    rows = gone_and_left("near_dedup", spark, odd_docs, odd_dir)
+    want = Counter(r[0] for r in ROWS if r[0] != 204)
+    want[205] = 1  # a row that is there twice
+    assert Counter(r["doc_id"] for r in rows) == want
+
+
+def test_odd_rows_in_decontamination(spark, odd_docs, odd_dir):
+    rows = gone_and_left("decontamination", spark, odd_docs, odd_dir)
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ROWS if r[0] != 3)
+
+
+def test_odd_rows_in_secret_scan(spark, odd_docs, odd_dir):
+    rows = gone_and_left("secret_scan", spark, odd_docs, odd_dir)
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r[0], r[1] and r[1].replace("token=abcdef0123", "[SECRET]")) for r in ROWS)
+    assert {r["n_chars"] for r in rows if r["doc_id"] == 205} == {len(SECRET) - len("token=abcdef0123") + len("[SECRET]")}
+
+
+def test_odd_rows_in_packing(spark, odd_docs, odd_dir):
+    rows = gone_and_left("best_fit_packing", spark, odd_docs, odd_dir)
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r[0] for r in ROWS)
+    encoder = packing.Encoder(default_tokenizer())
+    assert sum(r["length"] for r in rows) == sum(len(encoder.reference_ids(r[1])) + 1 for r in ROWS)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_empty_tables_in_stages(spark, odd_docs, odd_dir, stage):
+    assert not gone_and_left(stage, spark, odd_docs.limit(0), odd_dir)
+
+
 def test_run_is_the_stages_in_turn(spark, stages):
     rows = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert Counter(map(tuple, rows)) == Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in stages[5])
