@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import field, from_row
+from topiloom.llm.common import as_row, field, from_row
 
 UNKNOWN = "und"
 #: A document is rejected when the score of its likeliest language is less than this share
@@ -52,7 +53,7 @@ BATCH = 128
 RATE = 0.05
 DECAY = 1e-4
 SEED = 7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,8 +270,8 @@ def sample(docs: DataFrame, learnable: Column, label: str = "lang", docs_bound:
 
 def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> DataFrame:
     """row (all columns of ``docs``), lang_pred and score; ``with_runs`` adds the labelled runs of words."""
-    text = F.col("text").cast("string")
-    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    wide = as_row(docs).select("row", F.coalesce(field("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
     empty_runs = F.array().cast("array<struct<start:long,stop:long,lang:string>>")
@@ -280,9 +281,9 @@ def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> Da
         crf = shared.value
         move = np.exp(crf.moves) if crf else None
         for batch in batches:
-            for row, data, offsets in bw.slices(batch.column(1), SLICE_BYTES):
+            for row, data, offsets in bw.slices(pc.struct_field(batch.column(0), text_at), SLICE_BYTES):
                 part = batch.slice(row, len(offsets) - 1)
-                has_letter = part.column(2).to_numpy(zero_copy_only=False)
+                has_letter = part.column(1).to_numpy(zero_copy_only=False)
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 runs: list[list[dict]] = [[] for _ in names]
                 if crf:
