@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare
-from topiloom.llm import chat, covertree, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
+from topiloom.llm import chat, common, covertree, decontam, langid, licenses, minhash, packing, secrets, sharding, warc
 from topiloom.llm.components import components
 from topiloom.llm.oracle import ORACLES
 from topiloom.llm.queries import QUERIES, default_tokenizer
@@ -192,7 +192,7 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
 
 
 def test_a_hot_blob_meets_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "hot_rows", lambda rows: 10)
+    monkeypatch.setattr(common, "hot_rows", lambda rows: 10)
     rows = [(i, "secret = abcdef") for i in range(95)] + [(95, "password = hunter22"), (96, "x"), (96, "x"), (None, "secret = abcdef")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     paths = secrets.name_paths(docs)
@@ -254,6 +254,7 @@ def test_groups_meet_only_across_components(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     monkeypatch.setattr(minhash, "hot_rows", lambda rows: 5)
+    monkeypatch.setattr(common, "hot_rows", lambda rows: 5)
     rng = random.Random(5)
     rows, i = [], 0
     for g in range(6):

@@ -113,3 +113,17 @@ def with_value(rows: DataFrame, key: str, values: DataFrame, hot: DataFrame) ->
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
     rest = found.where("_key IS NULL").select(*rows.columns).join(values, F.col(key) == F.col("_key"))
     return found.where("_key IS NOT NULL").unionByName(rest).drop("_key")
+
+
+def salted(rows: DataFrame, key: str, values: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a stored table) left-joined with the ``values`` (_key, ...) of their key, however
+    large those are: a hot key's rows are dealt into parts, each of which meets a copy of its values.
+    ``total`` is the number of rows, which tells what is hot."""
+    limit = hot_rows(total)
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = F.broadcast(hot.select("_hot", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_hot", "_parts")
+    spread = values.join(hot, F.col("_key") == F.col("_hot"), "left")
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(spread, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_salt", "_part")

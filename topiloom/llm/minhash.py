@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows, with_value
+from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows, salted, with_value
 from topiloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -298,11 +298,22 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "sid binary, full binary").dropDuplicates(["sid"])
 
 
-def _confirm(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (u, v) that reach the threshold on their full sets."""
-    left = full.select(F.col("sid").alias("u"), F.col("full").alias("fu"))
-    right = full.select(F.col("sid").alias("v"), F.col("full").alias("fv"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "fu", "fv")
+def _confirm(pairs: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v; a stored table) that reach the threshold on their full sets.
+
+    A node may be the likeliest mate of very many; its pairs meet its set in parts."""
+    n = pairs.count()
+    left = full.select(F.col("sid").alias("_key"), F.col("full").alias("fu"))
+    right = full.select(F.col("sid").alias("_key"), F.col("full").alias("fv"))
+    parts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(n))
+    both = salted(pairs, "u", left, n)
+    if parts.take(1):  # hubs on this side as well: store what the second join deals
+        both = scratch.cut(both, "half")
+        both = salted(both, "v", right, n).select("u", "v", "fu", "fv")
+    else:
+        both = both.join(right, F.col("v") == F.col("_key")).select("u", "v", "fu", "fv")
+
+    both = both.where("fu IS NOT NULL AND fv IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +344,8 @@ def _groups(docs: DataFrame) -> DataFrame:
     wanted = scratch.cut(members.select("sid").distinct().join(nodes.select("sid", "doc_id"), "sid"), "wanted")
     full = scratch.cut(_full_sets(docs, wanted), "sets", release=True)
 
-    links = scratch.cut(_confirm(_proposals(members), full), "links", release=True)
+    pairs = scratch.cut(_proposals(members), "pairs", release=True)
+    links = scratch.cut(_confirm(pairs, full, scratch), "links", release=True)
     groups = components(links)
     likely = scratch.cut(_open_pairs(members, nodes, groups), "likely", release=True)
     more = scratch.cut(_open_links(likely, full), "links", release=True)

@@ -35,7 +35,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topiloom.llm.common import cut, field, from_row, hot_rows
+from topiloom.llm.common import cut, field, from_row, salted
 
 
 @dataclasses.dataclass(frozen=True)
@@ -174,17 +174,6 @@ def update(ledger: Ledger, paths: DataFrame, rule_sets: tuple[RuleSet, ...] = RU
     ledger.append(scan(paths, ledger.rows(), rule_sets))
 
 
-def _joined(paths: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
-    """``paths`` left-joined with ``hits``, both by blob; a hot blob meets in salted parts."""
-    limit = hot_rows(rows)
-    hot = F.broadcast(paths.groupBy(F.col("blob").alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_hot", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = paths.join(hot, F.col("blob") == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_hot", "_parts")
-    spread = hits.withColumnRenamed("blob", "_blob").join(hot, F.col("_blob") == F.col("_hot"), "left")
-    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
-    return dealt.join(spread, (F.col("blob") == F.col("_blob")) & (F.col("_salt") == F.col("_part")), "left").drop("_blob", "_salt", "_part")
-
-
 def found_in(paths: DataFrame, ledger: DataFrame, rule_sets: tuple[RuleSet, ...] = RULE_SETS) -> DataFrame:
     """(doc_id, blob, found) for every row of :func:`name_paths`; ``found`` maps rule
     versions to findings, those that found nothing left out."""
@@ -193,7 +182,7 @@ def found_in(paths: DataFrame, ledger: DataFrame, rule_sets: tuple[RuleSet, ...]
     hits = hits.groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("rule_version", "found"))).alias("found"))
     none = F.lit(None).cast(f"map<string,{FINDINGS}>")
     may = paths.where("text IS NOT NULL").select("doc_id", "blob")
-    back = _joined(may, hits, paths.count()).select("doc_id", "blob", "found")
+    back = salted(may, "blob", hits.withColumnRenamed("blob", "_key"), paths.count()).select("doc_id", "blob", "found")
     return back.unionByName(paths.where("text IS NULL").select("doc_id", "blob", none.alias("found")))
 
 
@@ -239,7 +228,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rule_sets: tuple[RuleSet, ..
     apart = spans.withColumn("at", F.coalesce(F.max("f.stop").over(before), F.lit(0)))
     gap = F.when(F.col("f.start") >= F.col("at"), F.struct("at", F.col("f.start").alias("start")))
     gaps = apart.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("f.stop").alias("last"))
-    told = _joined(dirty, gaps, dirty.count()).withColumn("chunks", F.when(F.col("last").isNotNull(), F.regexp_extract_all(field("text"), F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    told = salted(dirty, "blob", gaps.withColumnRenamed("blob", "_key"), dirty.count()).withColumn("chunks", F.when(F.col("last").isNotNull(), F.regexp_extract_all(field("text"), F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
     pieces = F.transform("gaps", lambda g: F.concat(_between(F.col("chunks"), g["at"], g["start"]), F.lit(mark)))
     rest = _between(F.col("chunks"), F.col("last"), F.length(field("text")))
     told = told.withColumn("new", F.concat(F.array_join(pieces, ""), rest))
