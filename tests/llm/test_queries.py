@@ -233,7 +233,9 @@ def test_redaction(spark):
     assert by[100] == "[SECRET]" and by[101] == "hex [SECRET] [SECRET] [SECRET]"
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr("topiloom.llm.components.hot_rows", lambda rows: hot)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 1), (200, 201), (7, 7), (5, 4)] + [(300, 300 + i) for i in range(1, 30)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[i] for i in range(1, 41)} == {1} and found[100] == 1 and found[201] == found[200] == 200

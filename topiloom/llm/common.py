@@ -98,7 +98,7 @@ def from_row(df: DataFrame, columns: Sequence[str], **instead: Column) -> DataFr
 
 #: No more than so many keys of a table can each have a share of rows above 1 / ``HOT_KEYS``.
 HOT_KEYS = 100_000
-HOT_ROWS = 1_000
+HOT_ROWS = 200
 
 
 def hot_rows(rows: int) -> int:

@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 components in MapReduce and beyond"): each step links neighbours to the least id
 among them, so trees flatten to stars in a logarithmic number of rounds.  A hub's
-edges meet only in joins, which Spark may split, and in partial minima.
+edges meet in partial minima only; its minimum is broadcast to them.
 """
 
 from __future__ import annotations
@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiloom.llm.common import Scratch
+from topiloom.llm.common import Scratch, hot_rows, with_value
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, of: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with ``_m``: the least neighbour of u in ``of``, or u itself if that is less."""
+    least = of.groupBy(F.col("u").alias("_key")).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select("_key", F.least("_key", "_m").alias("_m"), "_n")
+    return with_value(edges, "u", least.drop("_n"), least.where(F.col("_n") > hot_rows(rows)).drop("_n"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    return _with_least(both.where("v > u"), both, rows).select(F.col("v").alias("u"), F.col("_m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
-    joined = down.join(least, F.col("u") == F.col("_u"))
+    joined = _with_least(down, down, rows)
     return joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v")
 
 
@@ -35,10 +39,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     steps = [Scratch(spark)]
     now = steps[-1].cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
+    mark, rows = None, now.count()
     for _ in range(max_rounds):
         steps.append(Scratch(spark))
-        now = steps[-1].cut(_small_star(_large_star(now)).distinct(), "edges")
+        now = steps[-1].cut(_small_star(_large_star(now, rows), rows).distinct(), "edges")
         steps.pop(0).drop()
         new_mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == new_mark:
