@@ -228,7 +228,10 @@ class Model:
     bias: np.ndarray
     temperature: float
     bar: float
-    trigrams: list[list[np.ndarray]]  # sorted hashes, by family and template
+    grams: np.ndarray  # trigrams of all templates, ascending, and whose each is
+    template: np.ndarray
+    size: np.ndarray  # trigrams of each template, and its family
+    family: np.ndarray
     shared: np.ndarray  # trigrams of all templates and other licences
 
     def probabilities(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -236,22 +239,28 @@ class Model:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def coverage(self, hashes: np.ndarray, family: int) -> tuple[float, int]:
-        """The largest share of a template's trigrams that the words hold, and how many those are."""
-        own = _trigrams(hashes)
-        return max((float(held.mean()), int(held.sum())) for held in (np.isin(t, own) for t in self.trigrams[family]))
+    def coverage(self, own: np.ndarray) -> list[tuple[float, int]]:
+        """For each family: the largest share of a template's trigrams that are among ``own``
+        (distinct), and how many those are."""
+        first, last = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, side="right")
+        held = np.concatenate([self.template[a:b] for a, b in zip(first, last)]) if len(own) else np.zeros(0, np.int64)
+        count = np.bincount(held, minlength=len(self.size))
+        out = [(0.0, 0)] * (len(self.families) - 2)
+        for t in np.flatnonzero(count).tolist():
+            out[self.family[t]] = max(out[self.family[t]], (float(count[t] / self.size[t]), int(count[t])))
+        return out
 
     def judged(self, hashes: np.ndarray, p: np.ndarray) -> tuple[int, float] | None:
         """The family and its coverage of a window with class probabilities ``p``, or nothing."""
         if p[-1] > 1 - self.bar:
             return None
-        covers = [self.coverage(hashes, y) for y in range(len(self.trigrams))]
+        own = _trigrams(hashes)
+        covers = self.coverage(own)
         likely = set(np.argsort(-p[: len(covers)], kind="stable")[:3].tolist())
         # of templates that are covered, the one with the most words says the most
         best = max(range(len(covers)), key=lambda y: (covers[y][0] >= LEAST_COVERAGE, covers[y], p[y]))
         if covers[best][0] >= LEAST_COVERAGE and best in likely:
             return best, covers[best][0]
-        own = _trigrams(hashes)
         share = float(np.isin(own, self.shared).mean()) if len(own) else 0.0
         return (len(covers), share) if share >= LEAST_SHARED and len(hashes) >= 4 else None
 
@@ -302,9 +311,11 @@ def train(negatives: list[str], seed: int = SEED) -> Model:
     held = np.array([h for *_, h in examples])
     learn, test = np.flatnonzero(~held), np.flatnonzero(held)
     weights, bias = _fit(hashes, start, end, truth, learn, n)
-    trigrams = [[_trigrams(_hashes(t)) for t, _ in TEMPLATES[f]] for f in TEMPLATES]
-    shared = np.unique(np.concatenate([*(t for own_ in trigrams for t in own_), *(_trigrams(_hashes(t)) for t in OTHERS)]))
-    model = Model(families, weights.astype(np.float32), bias, 1.0, 0.5, trigrams, shared)
+    every = [(y, _trigrams(_hashes(t))) for y, f in enumerate(TEMPLATES) for t, _ in TEMPLATES[f]]
+    grams, size = np.concatenate([t for _, t in every]), np.array([len(t) for _, t in every])
+    order = np.argsort(grams, kind="stable")
+    shared = np.unique(np.concatenate([grams, *(_trigrams(_hashes(t)) for t in OTHERS)]))
+    model = Model(families, weights.astype(np.float32), bias, 1.0, 0.5, grams[order], np.repeat(np.arange(len(every)), size)[order], size, np.array([y for y, _ in every]), shared)
     logits = _gram_sums(hashes, model.weights, start[test], end[test]) + bias
 
     def loss(t: float) -> float:
