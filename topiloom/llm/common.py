@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Sequence
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def cut(self, df: DataFrame, what: str, release: bool = False) -> DataFrame:
-        """As :func:`cut`; ``release`` lets Spark delete the shuffle files of the finished job now."""
+        """As :func:`cut`; ``release`` lets Spark delete the shuffle files of the finished job and
+        gives the driver's free memory back now."""
         path = fresh_path(self.spark, what)
         self.paths.append(path)
         df.write.option("compression", "zstd").parquet(path)
@@ -64,9 +67,28 @@ class Scratch:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Spark deletes a finished job's shuffle files when the driver collects its garbage,
-    which on a quiet driver may be much later; this asks for it."""
+    which on a quiet driver may be much later; this asks for it.  The heap shrinks to what is
+    in use, and what the driver has freed outside of it goes back to the system as well."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Gives back what the driver's JVM has freed outside its heap (compilers, compression), which
+    its allocator keeps for each thread.  Whether the JVM has that command; without it all stays as it is."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    with suppress(Py4JError):
+        # through the interface: the server's own class is closed to reflection
+        types, values = gateway.new_array(jvm.java.lang.Class, len(kinds)), gateway.new_array(jvm.java.lang.Object, len(kinds))
+        for i, kind in enumerate(kinds):
+            types[i] = jvm.java.lang.Class.forName(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+        return True
+    return False
 
 
 def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFrame:

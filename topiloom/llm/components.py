@@ -4,6 +4,10 @@ Alternating large-star and small-star steps (Kiveris et al., "Connected
 components in MapReduce and beyond"): each step links neighbours to the least id
 among them, so trees flatten to stars in a logarithmic number of rounds.  A hub's
 edges meet in partial minima only; its minimum is broadcast to them.
+
+The result of each step is stored: a plan that holds both steps reads the first one
+four times over, and planning it, again after each of its stages, costs the driver
+memory.  What a round leaves in the driver is given back before the next one.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark, rows = None, now.count()
     for _ in range(max_rounds):
         steps.append(Scratch(spark))
-        now = steps[-1].cut(_small_star(_large_star(now, rows), rows).distinct(), "edges")
+        half = steps[-1].cut(_large_star(now, rows), "half")
+        now = steps[-1].cut(_small_star(half, rows).distinct(), "edges", release=True)
         steps.pop(0).drop()
         new_mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == new_mark:

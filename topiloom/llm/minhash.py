@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows, salted, with_value
+from topiloom.llm.common import Scratch, as_row, cut, field, from_row, hot_rows, release_shuffles, salted, with_value
 from topiloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -354,6 +354,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     label = scratch.cut(_labels(nodes, groups), "labels")
     out = cut(_labelled(sketch, nodes, label), "groups")
     scratch.drop()
+    release_shuffles(docs.sparkSession)
     return out
 
 
