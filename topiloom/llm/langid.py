@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,10 @@ BATCH = 128
 RATE = 0.05
 DECAY = 1e-4
 SEED = 7
-SLICE_BYTES = 2 << 20
+#: Of texts whose words are labelled together; more than ``SLICE_LABELS`` labels take less text, ``LEAST_SLICE`` at least.
+SLICE_BYTES, SLICE_LABELS, LEAST_SLICE = 2 << 20, 4, 64 << 10
+#: Of words whose features stand in memory together, times labels; and the least of one part.
+PART_BYTES, LEAST_PART = 256 << 10, 4 << 10
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +102,15 @@ class Model:
     moves: np.ndarray  # (labels, labels), log scale
 
     def unary(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        ids, offsets = features(data, starts, ends, hashes)
+        """Scores of words; features are made and dropped for ``PART_BYTES`` / labels bytes of words at a time."""
         out = np.empty((len(starts), len(self.labels)), dtype=np.float32)
-        for a in range(0, len(starts), 20_000):
-            b = min(len(starts), a + 20_000)
-            part = ids[offsets[a] : offsets[b] if b < len(offsets) else len(ids)]
-            out[a:b] = np.add.reduceat(self.weights[part], offsets[a:b] - offsets[a], axis=0)
+        limit = max(LEAST_PART, PART_BYTES // len(self.labels))
+        before, a = np.concatenate([[0], np.cumsum(ends - starts)]), 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(before, before[a] + limit, side="right")) - 1)
+            ids, offsets = features(data, starts[a:b], ends[a:b], hashes[a:b])
+            out[a:b] = np.add.reduceat(self.weights[ids], offsets, axis=0)
+            a = b
         return out
 
 
@@ -268,6 +275,21 @@ def sample(docs: DataFrame, learnable: Column, label: str = "lang", docs_bound:
     return [(r["text"], r["label"]) for r in sorted(kept.collect(), key=lambda r: (r["label"], r["rank"]))]
 
 
+def slice_bytes(labels: int) -> int:
+    """Bytes of text that are labelled together: every word has a row of ``labels`` numbers."""
+    return max(LEAST_SLICE, SLICE_BYTES * SLICE_LABELS // max(SLICE_LABELS, labels))
+
+
+def _labelled_words(crf: Model, move: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of all words, and how many words come before each text."""
+    starts, ends, first = bw.words(data, offsets, bw.ALPHA)
+    hashes = bw.word_hashes(data, starts, ends)
+    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    emit = _softened(crf.unary(data, starts[at], ends[at], hashes[at]))[inverse]
+    del starts, ends, hashes, at, inverse
+    return posteriors(emit, move, first), first
+
+
 def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> DataFrame:
     """row (all columns of ``docs``), lang_pred and score; ``with_runs`` adds the labelled runs of words."""
     wide = as_row(docs).select("row", F.coalesce(field("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
@@ -280,31 +302,35 @@ def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         move = np.exp(crf.moves) if crf else None
-        for batch in batches:
-            for row, data, offsets in bw.slices(pc.struct_field(batch.column(0), text_at), SLICE_BYTES):
+        limit = slice_bytes(len(crf.labels)) if crf else SLICE_BYTES
+
+        def labelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for row, data, offsets in bw.slices(pc.struct_field(batch.column(0), text_at), limit):
                 part = batch.slice(row, len(offsets) - 1)
                 has_letter = part.column(1).to_numpy(zero_copy_only=False)
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 runs: list[list[dict]] = [[] for _ in names]
                 if crf:
-                    starts, ends, first = bw.words(data, offsets, bw.ALPHA)
-                    hashes = bw.word_hashes(data, starts, ends)
-                    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                    emit = _softened(crf.unary(data, starts[at], ends[at], hashes[at]))[inverse]
-                    gamma = posteriors(emit, move, first)
-                    sums = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)])
+                    gamma, first = _labelled_words(crf, move, data, offsets)
                     size = np.diff(first)
-                    mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(size, 1)[:, None]
+                    named = np.flatnonzero(has_letter & (size > 0))
+                    filled = np.flatnonzero(size > 0)
+                    mean = np.zeros((len(size), gamma.shape[1]))
+                    if len(filled):
+                        mean[filled] = np.add.reduceat(gamma, first[:-1][filled], axis=0) / size[filled, None]
                     best = mean.argmax(axis=1)
-                    for k in np.flatnonzero(has_letter & (size > 0)).tolist():
+                    for k in named.tolist():
                         names[k], scores[k] = crf.labels[best[k]], min(1.0, max(0.0, mean[k, best[k]]))
                         if with_runs:
                             own = gamma[first[k] : first[k + 1]].argmax(axis=1)
                             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
                             runs[k] = [{"start": a, "stop": b, "lang": crf.labels[own[a]]} for a, b in zip(cuts, cuts[1:])]
+                    del gamma
                 made = [pa.array(names, pa.string()), pa.array(scores)] + ([pa.array(runs, run_type)] if with_runs else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=shape.names)
 
+        return chain.from_iterable(map(labelled, batches))  # holds no batch while the next one is read
+
     return wide.mapInArrow(run, shape)
 
 
