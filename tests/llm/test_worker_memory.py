@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
+import subprocess
+import sys
 import tracemalloc
 import weakref
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +17,30 @@ import pytest
 from topiloom.llm import bytewise as bw
 from topiloom.llm import langid
 
+_WORKER = """
+import json, re, sys
+from pathlib import Path
+import pyarrow as pa
+import public_tokenizers
+from topiloom.llm import packing
+
+class Docs:
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+packing.F = type("F", (), {"col": lambda self, name: self, "cast": lambda self, kind: self})()
+anon = lambda: int(re.search(r"\\nAnonymous:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+run = packing.pieces(Docs(), public_tokenizers.path("byte_bpe_50k.json"))
+batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+sizes = [anon()]
+for _ in range(3):
+    for out in run(iter([batch])):
+        during = anon()
+    assert out.column(3).to_pylist()[1] == 1
+    sizes.append(anon())
+print(json.dumps([during, *sizes]))
+"""
+
 
 def _batch(texts):
     row = pa.StructArray.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -78,3 +106,11 @@ def test_slices_copy_no_text():
     for column in (whole, whole.slice(3, 100), pa.array(["a", None, "bcd", None, None, "é"] * 9).slice(1, 40), pa.array([None, None], pa.string()), pa.array([], pa.string()), pa.array(["a", None]).slice(1)):
         found = [(row + k, bytes(data[a:b]).decode()) for row, data, offsets in bw.slices(column, 16) for k, (a, b) in enumerate(zip(offsets, offsets[1:]))]
         assert found == [(i, t or "") for i, t in enumerate(column.to_pylist())]
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_the_vocabulary_back():
+    said = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, timeout=120, check=True, cwd=Path(__file__).parents[2]).stdout
+    during, before, *after = json.loads(said.splitlines()[-1])
+    assert during - before > 30  # MB that the vocabulary takes
+    assert max(after) - before < 0.6 * (during - before)

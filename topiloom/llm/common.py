@@ -7,10 +7,12 @@ it calls :func:`cut`, which writes a table to the cluster's shared folder.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Sequence
 from contextlib import suppress
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,15 @@ def trim_driver(spark: SparkSession) -> bool:
     return False
 
 
+def trim_worker() -> None:
+    """Gives back what a Python worker has freed.  Workers are used again by later stages, where
+    what the allocators keep of large models and tables would count beside what those need.
+    A C library without that call keeps it."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def hash_sample(df: DataFrame, bound: int, rows: int, *columns: str) -> DataFrame:
     """``bound`` of the ``rows`` rows of ``df``: those with the least hash of ``columns``, added as ``_h``.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import as_row, field, from_row
+from topiloom.llm.common import as_row, field, from_row, trim_worker
 
 UNKNOWN = "und"
 #: A document is rejected when the score of its likeliest language is less than this share
@@ -329,7 +329,8 @@ def predict(docs: DataFrame, model: Model | None, with_runs: bool = False) -> Da
                 made = [pa.array(names, pa.string()), pa.array(scores)] + ([pa.array(runs, run_type)] if with_runs else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=shape.names)
 
-        return chain.from_iterable(map(labelled, batches))  # holds no batch while the next one is read
+        yield from chain.from_iterable(map(labelled, batches))  # holds no batch while the next one is read
+        trim_worker()
 
     return wide.mapInArrow(run, shape)
 

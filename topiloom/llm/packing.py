@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiloom.llm import bytewise as bw
-from topiloom.llm.common import cut
+from topiloom.llm.common import cut, trim_worker
 
 SEQUENCE = 2048
 END_ID = 0
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE, end_id: int =
     end = np.array([end_id], dtype="<u4")
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, specials_as_text)
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
@@ -129,6 +129,10 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE, end_id: int =
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        trim_worker()  # the vocabulary has gone
+
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
